@@ -58,3 +58,9 @@ def share_bytes(spark: SparkSession, data: bytes, label: str) -> str:
         out.close()
     sc.addFile(fs.makeQualified(path).toString())
     return name
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """The rows over enough partitions to keep every core busy; a shuffle only where the scan gives fewer, as with few large row groups."""
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
