@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeweave.session import share_bytes
+from placeweave.session import share_bytes, spread
 
 #: Fixed value: how byte-level BPE vocabularies of this family part a text into words.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -211,6 +211,7 @@ def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, max_words:
     """
     spark = documents.sparkSession
     ranks = _ranks(vocabulary)
+    documents = spread(documents.select("doc_id", "text"))
     words = frequent_words(documents, max_words, min_count)
     name = share_bytes(spark, compile_lexicon({w.encode(): merge_word(w.encode(), ranks) for w in words}), "lexicon")
 
