@@ -40,7 +40,8 @@ def catalogue_rows(documents: DataFrame, column: str) -> DataFrame:
 def catalogue_json(entries: DataFrame) -> DataFrame:
     """The catalogue as one JSON text with sorted keys; a bounded table."""
     fields = F.struct("status", "source", "url", "reason")
-    by = lambda df, group, key, value: df.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value)))).alias("m"))
+    _by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    by = lambda df, group, key, value: df.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))), _by_key)).alias("m"))
     kinds = by(entries, ["lang", "kind"], "slug", fields)
     return by(by(kinds, ["lang"], "kind", F.col("m")), [], "lang", F.col("m")).select(F.to_json("m").alias("value"))
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from placeweave.operators.ordering import first_wins
@@ -31,9 +32,9 @@ def sync_batch(rows: DataFrame, batch_id: int, out: str, keys: list[str], order:
     earlier batches wrote, so that a batch replayed after a failure sees the same.
     """
     spark = rows.sparkSession
-    names = [*rows.columns, "status"]
-    scored = first_wins(accept(rows), keys, order, F.col("accepted")).select(*names)
-    before = _read(spark, out, scored.schema.add("batch_id", "int")).where((F.col("batch_id") < batch_id) & (F.col("status") == "added")).select(*keys).distinct()
+    scored = first_wins(accept(rows), keys, order, F.col("accepted"))
+    names = scored.columns
+    before = _read(spark, out, T.StructType([*scored.schema.fields, T.StructField("batch_id", T.IntegerType())])).where((F.col("batch_id") < batch_id) & (F.col("status") == "added")).select(*keys).distinct()
     seen = scored.join(before.withColumn("__seen", F.lit(True)), keys, "left")
     return seen.withColumn("status", F.when(F.col("__seen"), "skipped").otherwise(F.col("status"))).select(*names)
 
