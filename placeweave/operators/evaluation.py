@@ -51,11 +51,11 @@ def best_by(scores: DataFrame, group: list[str], keys: list[Column], order: Colu
 def select_strategy(scores: DataFrame, score: str, rank: str, gate: Column, margin: float = 0.02) -> DataFrame:
     """The best strategy that passes the gate; of two within the margin the one of lower maintenance rank. None is an error."""
     two = scores.where(gate).orderBy(F.desc(score), F.asc(rank)).limit(2)
-    listed = two.agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(rank).alias("r"), *scores.columns))).alias("l"))
+    listed = two.agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(rank).alias("r"), F.struct(*scores.columns).alias("row")))).alias("l"))
     first, second = F.get("l", F.lit(0)), F.get("l", F.lit(1))
     close = second.isNotNull() & (second["s"] - first["s"] <= margin) & (second["r"] < first["r"])
     chosen = F.when(first.isNull(), F.raise_error(F.lit("no strategy passes"))).when(close, second).otherwise(first)
-    return listed.select(chosen.alias("c")).select(*(F.col(f"c.{c}") for c in scores.columns))
+    return listed.select(chosen.alias("c")).select(*(F.col(f"c.row.{c}") for c in scores.columns))
 
 
 def corpus_gate(cases: DataFrame, group: str, minimums: dict[str, int], at_least: int) -> DataFrame:

@@ -34,6 +34,7 @@ QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "「": "
 WRAPS = {"[": "]", "{": "}"}
 _COORDINATES = re.compile(r"[+-]?\d{1,3}\.\d+\s*[,，]\s*[+-]?\d{1,3}\.\d+")
 _COMMAS = {"comma", "wide comma"}
+_SOME = re.compile(r"[^\s|｜;；/／,，、]")
 
 # Code lengths in bits.
 BITS_PER_CHARACTER = 1.2
@@ -41,6 +42,7 @@ BITS_PER_VALUE = 2.0
 BITS_NOVEL = 8.0
 BITS_PER_SIGN = 3.0
 BITS_PER_DELIMITER = 12.0
+BITS_UNSPLIT = 25.0  # for a delimiter, commas and slashes apart, inside a new value
 
 _ITEMS = T.ArrayType(T.StringType())
 _PARSES = T.ArrayType(T.StructType([T.StructField("dialect", T.StringType()), T.StructField("items", _ITEMS)]))
@@ -124,6 +126,8 @@ def parses(text: str, quoted_commas_only: bool) -> list[tuple[str, list[str]]]:
     body, listed = text.strip(), False
     if len(body) >= 2 and body[0] in WRAPS and body[-1] == WRAPS[body[0]]:
         body, listed = body[1:-1], True
+    if not _SOME.search(body):
+        return []
     masked = _masked(body)
     paired = _COORDINATES.sub(lambda m: "\0" * len(m.group()), masked)
     present = [name for name, p in DELIMITERS.items() if re.search(p, paired)]
@@ -211,6 +215,7 @@ def split_packed(fields: DataFrame, keys: list[str], text: str = "text", quoted_
     of_shape = log2(F.col("total") + 2) - log2(F.coalesce("n_shape", F.lit(0)) + 0.5)
     of_shape = of_shape + F.when(F.col("n_shape").isNull(), BITS_PER_SIGN * F.length("shape")).otherwise(0)
     of_new = BITS_NOVEL + of_shape + BITS_PER_CHARACTER * (F.length("value") - F.col("copied"))
+    of_new = of_new + BITS_UNSPLIT * F.regexp_count("value", F.lit(r"[\r\n\t|｜;；、]"))
     bits = F.least(of_known, of_new) + BITS_PER_VALUE
     cheapest = (
         coded.groupBy("__key", "dialect", "size").agg((F.sum(bits) + BITS_PER_DELIMITER * F.size(F.split("dialect", r"\+"))).alias("bits"))

@@ -31,10 +31,12 @@ def parsed_rows(lines: DataFrame) -> DataFrame:
 def catalogue_rows(documents: DataFrame, column: str) -> DataFrame:
     """Entries of a catalogue given as JSON of language, kind, slug and entry; nodes of other types are left out."""
     entry = T.StructType([T.StructField(n, _S) for n in ("status", "source", "url", "reason")])
-    shape = T.MapType(_S, T.MapType(_S, T.MapType(_S, entry)))
-    step = documents.select(F.explode(F.from_json(column, shape)).alias("lang", "kinds"))
-    step = step.select("lang", F.explode("kinds").alias("kind", "entries")).select("lang", "kind", F.explode("entries").alias("slug", "e"))
-    return step.where("e is not null").select("lang", "kind", "slug", "e.*")
+    texts = T.MapType(_S, _S)
+    # Level by level, so that a node of another type is lost alone.
+    step = documents.select(F.explode(F.from_json(column, texts)).alias("lang", "kinds"))
+    step = step.select("lang", F.explode(F.from_json("kinds", texts)).alias("kind", "entries"))
+    step = step.select("lang", "kind", F.explode(F.from_json("entries", texts)).alias("slug", "e")).where(F.trim("e").startswith("{"))
+    return step.withColumn("e", F.from_json("e", entry)).select("lang", "kind", "slug", "e.*")
 
 
 def catalogue_json(entries: DataFrame) -> DataFrame:
