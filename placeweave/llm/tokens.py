@@ -11,6 +11,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -190,7 +191,8 @@ def frequent_words(documents: DataFrame, max_words: int, min_count: int) -> dict
             if len(total) > 300_000:
                 yield pd.DataFrame({"word": list(total), "n": list(total.values())})
                 total.clear()
-        yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"word": list(total), "n": list(total.values())})
 
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
     counts = documents.select("text").where(F.col("text").isNotNull()).mapInPandas(count, schema)
@@ -215,9 +217,9 @@ def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, max_words:
     words = frequent_words(documents, max_words, min_count)
     name = share_bytes(spark, compile_lexicon({w.encode(): merge_word(w.encode(), ranks) for w in words}), "lexicon")
 
-    def ids(texts: pd.Series) -> pd.Series:
+    def ids(texts: pa.Array) -> pa.Array:
         encode = _encoder(name, vocabulary)
-        return pd.Series([encode(t) if t else [] for t in texts], dtype=object)
+        return pa.array([encode(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    to_ids = F.pandas_udf(ids, T.ArrayType(T.IntegerType()))
+    to_ids = F.arrow_udf(ids, T.ArrayType(T.IntegerType()))
     return documents.select("doc_id", to_ids(F.coalesce("text", F.lit(""))).alias("ids"))
