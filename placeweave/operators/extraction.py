@@ -88,7 +88,7 @@ def with_detail(pages: DataFrame, html: str = "html") -> DataFrame:
 def rating(attrs: Column, icons: Column) -> Column:
     """The level a card shows: by its attributes, else by its icons; without icons Selected."""
     said = lambda *tokens: F.exists(attrs, lambda a: F.lower(a).rlike("|".join(tokens)))
-    stars = F.size(F.filter(icons, lambda s: s.rlike("1star|michelin-star")))
+    stars = F.size(F.filter(icons, lambda s: s.rlike("1star|[a-z]+-star")))
     by_icon = F.when(F.exists(icons, lambda s: F.lower(s).contains("bib")), "Bib Gourmand").when(stars == 1, "1 Star").when(stars == 2, "2 Stars").when(stars == 3, "3 Stars").otherwise("Selected")
     return F.when(icons.isNull(), "Selected").when(said("bib"), "Bib Gourmand").when(said("three", "3"), "3 Stars").when(said("two", "2"), "2 Stars").when(said("one", "1"), "1 Star").otherwise(by_icon)
 
@@ -150,7 +150,7 @@ def guarded_next(url: Column, page: Column, following: Column, pages: Column) ->
 
 # What ends a scope's name, names that say nothing, and its greatest length.
 SPLITTERS = (" | ", " - ", " : ", " – ", " — ")
-GENERIC_SCOPES = ("restaurants", "restaurant", "michelin guide", "the michelin guide")
+GENERIC_SCOPE = r"^(restaurants?|(the )?[a-z]+ guide)$"
 SCOPE_LENGTH = 30
 _EMOJI = r"[\x{1f1e0}-\x{1f1ff}\x{1f300}-\x{1f5ff}\x{1f600}-\x{1f64f}\x{1f680}-\x{1f6ff}\x{1f900}-\x{1f9ff}\x{1fa00}-\x{1faff}\x{2600}-\x{27b0}\x{fe00}-\x{fe0f}\x{200d}]+"
 
@@ -163,7 +163,7 @@ def scope_name(c: Column | str) -> Column:
     short = F.regexp_replace(F.substring(cut, 1, SCOPE_LENGTH), tail, "")
     word = F.regexp_replace(F.regexp_extract(short, r"^(.+) ", 1), tail, "")
     whole = F.when(F.length(cut) <= SCOPE_LENGTH, cut).when(word != "", word).otherwise(short)
-    return F.when(F.lower(cut).isin(*GENERIC_SCOPES), F.lit("")).otherwise(whole)
+    return F.when(F.lower(cut).rlike(GENERIC_SCOPE), F.lit("")).otherwise(whole)
 
 
 def best_scope(candidates: DataFrame, group: list[str], value: str, priority: str, order: str) -> DataFrame:

@@ -249,7 +249,7 @@ _CUT = lambda v: "CASE " + " ".join(f"WHEN contains({v}, '{s}') AND trim(split_p
 _EMOJI = r"[\x{1f1e0}-\x{1f1ff}\x{1f300}-\x{1f5ff}\x{1f600}-\x{1f64f}\x{1f680}-\x{1f6ff}\x{1f900}-\x{1f9ff}\x{1fa00}-\x{1faff}\x{2600}-\x{27b0}\x{fe00}-\x{fe0f}\x{200d}]+"
 
 
-@query(rf"""SELECT doc_id, CASE WHEN lower(cut) IN ('restaurants', 'restaurant', 'michelin guide', 'the michelin guide') THEN '' WHEN length(cut) <= 30 THEN cut
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(lower(cut), '{extraction.GENERIC_SCOPE}') THEN '' WHEN length(cut) <= 30 THEN cut
   WHEN regexp_replace(regexp_extract(short, '(?s)^(.+) ', 1), '[ \-|:,]+$', '') <> '' THEN regexp_replace(regexp_extract(short, '(?s)^(.+) ', 1), '[ \-|:,]+$', '') ELSE short END AS scope
   FROM (SELECT doc_id, cut, regexp_replace(left(cut, 30), '[ \-|:,]+$', '') AS short FROM (SELECT doc_id, {_CUT("v")} AS cut FROM (SELECT doc_id, trim(regexp_replace({_collapse("text")}, '{_EMOJI}', '', 'g')) AS v FROM documents)))""")
 def scope_names(spark: SparkSession, d: str) -> DataFrame:
