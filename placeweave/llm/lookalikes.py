@@ -16,6 +16,10 @@ def _forms(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([found.get(v, (None, None)) for v in values], columns=["form", "skeleton"])
 
 
+# So that a filter on the result doesn't have it run twice.
+_forms = _forms.asNondeterministic()
+
+
 def consistent_values(values: DataFrame, value: str = "value") -> DataFrame:
     """Adds `form`, the value in plain characters, `skeleton`, what it looks like, and `deviates`.
 
