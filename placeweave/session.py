@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,13 +52,8 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path.toString())
 
 
-def share_bytes(spark: SparkSession, data: bytes, label: str) -> str:
-    """Writes `data` to the shared folder and hands it to every executor; its name for SparkFiles.get.
-
-    Executors fetch the file themselves when a task needs it, so that one started
-    later, in place of a lost one, gets it as well.
-    """
-    name = f"{label}-{uuid.uuid4().hex}"
+def _written(spark: SparkSession, data: bytes, name: str) -> str:
+    """Writes `data` to a file of the shared folder, to be deleted when the session's JVM ends; its qualified path."""
     sc = spark.sparkContext
     jvm = sc._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
@@ -66,10 +64,33 @@ def share_bytes(spark: SparkSession, data: bytes, label: str) -> str:
             out.write(bytearray(data[i : i + (1 << 20)]))
     finally:
         out.close()
-    sc.addFile(fs.makeQualified(path).toString())
+    fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()
+
+
+def share_bytes(spark: SparkSession, data: bytes, label: str) -> str:
+    """Hands `data` to every executor through the shared folder; its name for SparkFiles.get.
+
+    Executors fetch the file themselves when a task needs it, so that one started
+    later, in place of a lost one, gets it as well.
+    """
+    name = f"{label}-{uuid.uuid4().hex}"
+    spark.sparkContext.addFile(_written(spark, data, name))
     return name
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable to the Python workers, wherever they were started; once per session."""
+    if getattr(spark.sparkContext, "_placeweave_shipped", False):
+        return
+    root, buffer = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(_written(spark, buffer.getvalue(), f"placeweave-{uuid.uuid4().hex}.zip"))
+    spark.sparkContext._placeweave_shipped = True
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """The rows over enough partitions to keep every core busy; a shuffle only where the scan gives fewer, as with few large row groups."""
     wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
