@@ -39,14 +39,21 @@ MARKERS = (
     ("google-account-label", r'(?is)aria-label="Google Account:(?!\s*<redacted-)[^"]+?"'),
     ("google-account-escaped-label", r"(?is)Google Account:\s*(?!<redacted-)[^\"<\\]*?\\u0026#10;"),
 )
+_ESCAPED = r"\u003c/div\u003e\u003cdiv\u003e<redacted-email>"
+_ESCAPED_END = r"\\u003cdiv\\u003e<redacted-email>)"
 # What can follow a list's name.
 SUFFIXES = r"[\s·•,，:：|(（]"
 BOUNDARY = r"[\s·•,，.。:：;；|/()（）\[\]「」\"'-]"
 
 
 def redacted(c: Column | str) -> Column:
-    """The text with all rewrites applied; doing so twice changes nothing."""
-    return reduce(lambda v, r: F.regexp_replace(v, *r), REWRITES, text(c))
+    """The text with all rewrites applied; doing so twice changes nothing.
+
+    A rewrite of escaped markup is tried only where its literal part occurs: it looks
+    at every place of a text.
+    """
+    apply = lambda v, r: F.when(v.contains(_ESCAPED), F.regexp_replace(v, *r)).otherwise(v) if r[0].endswith(_ESCAPED_END) else F.regexp_replace(v, *r)
+    return reduce(apply, REWRITES, text(c))
 
 
 def markers(c: Column | str) -> Column:

@@ -385,7 +385,9 @@ def failure_candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "target_failures").select("failure_id", F.struct("matcher_row.name", F.lit("").alias("name_local"), "matcher_row.city", "matcher_row.address", "matcher_row.cuisine").alias("row_rec"))
     cands = load(spark, d, "place_candidates").select("query_text", "cand_ord", "cand_id", F.struct("name", "address", "category", "subtitle", "located_in").alias("cand_rec"))
     top = ordering.top_k(cands, ["query_text"], [F.col("cand_ord"), F.col("cand_id")], 5)
-    pairs = evidence.assessed(tries.join(top, "query_text").join(rows, "failure_id"))
+    # Scoring takes far more time than its bytes suggest: as many tasks as for the join, by row, which the choice below needs anyway.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = evidence.assessed(tries.join(top, "query_text").join(rows, "failure_id").repartition(tasks, "failure_id"))
     found = ordering.first_acceptable(pairs.select("failure_id", "item_no", "cand_ord", "cand_id", "assessment"), ["failure_id"], [F.col("item_no"), F.col("cand_ord"), F.col("cand_id")], F.col("assessment.accept"))
     return found.select("failure_id", "cand_id", F.round("assessment.score", 4).alias("score"), "n_pairs", "n_before")
 
