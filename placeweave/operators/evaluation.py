@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,13 +11,9 @@ from pyspark.sql import functions as F
 
 
 def weighted_grid(spark: SparkSession, choices: dict[str, list[float]], tolerance: float = 0.04) -> DataFrame:
-    """All combinations of weights whose sum is 1 within the tolerance; a product of short lists."""
-    out = None
-    for name, values in choices.items():
-        column = spark.createDataFrame([(float(v),) for v in values], f"{name} double")
-        out = column if out is None else out.join(F.broadcast(column))
-    total = sum((F.col(n) for n in choices), F.lit(0.0))
-    return out.where(F.abs(total - 1.0) <= tolerance + 1e-9)
+    """All combinations of weights whose sum is 1 within the tolerance; made of short lists on the driver."""
+    rows = [tuple(map(float, row)) for row in product(*choices.values()) if abs(sum(row) - 1.0) <= tolerance + 1e-9]
+    return spark.createDataFrame(rows, ", ".join(f"{name} double" for name in choices))
 
 
 def grid(spark: SparkSession, choices: dict[str, list[float]]) -> DataFrame:
@@ -24,6 +21,11 @@ def grid(spark: SparkSession, choices: dict[str, list[float]]) -> DataFrame:
     return weighted_grid(spark, choices, float("inf"))
 
 
+def over_choices(cases: DataFrame, name: str, values: list[float]) -> DataFrame:
+    """Each case once for each value of a parameter."""
+    return cases.withColumn(name, F.explode(F.array(*(F.lit(float(v)) for v in values))))
+
+
 def confusion(scored: DataFrame, config: list[str], accept: Column, expected: Column) -> DataFrame:
     """Counts, precision, recall and F1 per configuration; manual cases aren't counted."""
     hit, miss = expected == "match", expected == "reject"

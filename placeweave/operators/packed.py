@@ -203,16 +203,16 @@ def split_packed(fields: DataFrame, keys: list[str], text: str = "text", quoted_
     sure = parsed.where(F.size("readings") == 1).select("__key", F.col("readings")[0].alias("r"))
     known = sure.select(F.explode("r.items").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     shapes = known.groupBy(_shape(F.col("value")).alias("shape")).agg(F.sum("n").alias("n_shape"))
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
+    every = F.lit(float(known.agg(F.sum("n")).first()[0] or 0) + 2)  # one number
 
     open_ = parsed.where(F.size("readings") > 1).select("__key", F.explode("readings").alias("r")).select("__key", "r.dialect", "r.items")
     values = open_.select("__key", "dialect", F.explode(F.arrays_zip("items", _copied("items").alias("copied"))).alias("z"), F.size("items").alias("size"))
     values = values.select("__key", "dialect", "size", F.col("z.items").alias("value"), F.col("z.copied").alias("copied"))
     values = values.withColumn("shape", _shape(F.col("value")))
     log2 = lambda n: F.log2(n.cast("double"))
-    coded = values.join(known, "value", "left").join(shapes, "shape", "left").join(F.broadcast(total))
-    of_known = F.when(F.col("n").isNotNull(), log2(F.col("total") + 2) - log2(F.col("n")))
-    of_shape = log2(F.col("total") + 2) - log2(F.coalesce("n_shape", F.lit(0)) + 0.5)
+    coded = values.join(known, "value", "left").join(shapes, "shape", "left")
+    of_known = F.when(F.col("n").isNotNull(), log2(every) - log2(F.col("n")))
+    of_shape = log2(every) - log2(F.coalesce("n_shape", F.lit(0)) + 0.5)
     of_shape = of_shape + F.when(F.col("n_shape").isNull(), BITS_PER_SIGN * F.length("shape")).otherwise(0)
     of_new = BITS_NOVEL + of_shape + BITS_PER_CHARACTER * (F.length("value") - F.col("copied"))
     of_new = of_new + BITS_UNSPLIT * F.regexp_count("value", F.lit(r"[\r\n\t|｜;；、]"))

@@ -445,8 +445,7 @@ _COUNTED = f"SELECT threshold, count(*) FILTER (WHERE accept AND expected = 'mat
 def _by_threshold(spark: SparkSession, d: str) -> DataFrame:
     dice = tx.dice(tx.ngrams(F.lower(tx.text("row_rec.name")), 2), tx.ngrams(F.lower(tx.text("cand_rec.name")), 2))
     cases = load(spark, d, "matcher_cases").select("case_id", "case_group", "expected", F.round(dice, 6).alias("dice"))
-    grid = evaluation.grid(spark, {"threshold": [30.0, 50.0, 70.0, 90.0]})
-    return cases.join(F.broadcast(grid)).withColumn("accept", F.col("dice") >= F.col("threshold"))
+    return evaluation.over_choices(cases, "threshold", [30.0, 50.0, 70.0, 90.0]).withColumn("accept", F.col("dice") >= F.col("threshold"))
 
 
 @query(f"""SELECT threshold, tp, fp, fn, tn, round(tp / greatest(1, tp + fp), 6) AS precision, round(tp / greatest(1, tp + fn), 6) AS recall FROM ({_COUNTED})""")
