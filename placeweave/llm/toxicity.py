@@ -190,15 +190,15 @@ def _refine(rows: list[tuple], documents: tuple[int, int]) -> tuple[bytes, bytes
     return ordinary[-(DICTIONARY_BYTES - len(own)) :] + b"\n" + own, ordinary
 
 
-def _best(scores: list[tuple[float, float]], near: float = 0.98) -> float:
-    """The threshold in the middle of those at which the harmonic mean of precision and recall is, all but `near`, greatest."""
+def _best(scores: list[tuple[float, float, int]], near: float = 0.98) -> float:
+    """The threshold in the middle of those at which the harmonic mean of precision and recall is, all but `near`, greatest; of (score, rating, documents)."""
     scores = sorted(scores, reverse=True)
-    every, hits, found = sum(y for _, y in scores), 0.0, []
-    for i, (s, y) in enumerate(scores):
-        hits += y
+    every, hits, seen, found = sum(y * n for _, y, n in scores), 0.0, 0, []
+    for i, (s, y, n) in enumerate(scores):
+        hits, seen = hits + y * n, seen + n
         below = scores[i + 1][0] if i + 1 < len(scores) else -1.0
         if below < s and every:
-            found.append((2 * hits / (i + 1 + every), (s + below) / 2))
+            found.append((2 * hits / (seen + every), (s + below) / 2))
     top = max((f for f, _ in found), default=0.0)
     good = [at for f, at in found if f >= near * top]
     return (min(good) + max(good)) / 2 if good else 1.0
@@ -264,8 +264,8 @@ def train_model(documents: DataFrame, doc_labels: DataFrame, max_windows: int =
 
     models = [fit(tuple(g for g in range(FOLDS) if g != f)) for f in range(FOLDS)]  # each fold is scored by what the others say
     held_out = _scored(texts, models, "fold").groupBy(F.round("score", 4).alias("score"), "toxic").count().collect()
-    pairs = [(r["score"], float(r["toxic"])) for r in held_out for _ in range(min(r["count"], 1000))]
-    return ToxicityModel(*fit(tuple(range(FOLDS))), threshold=max(0.02, _best(pairs)) if 0 < sum(y for _, y in pairs) < len(pairs) else 1.0)
+    rated_scores = [(r["score"], float(r["toxic"]), r["count"]) for r in held_out]
+    return ToxicityModel(*fit(tuple(range(FOLDS))), threshold=max(0.02, _best(rated_scores)) if len({y for _, y, _ in rated_scores}) == 2 else 1.0)
 
 
 def scored_documents(documents: DataFrame, doc_labels: DataFrame) -> DataFrame:

@@ -188,6 +188,15 @@ def test_toxicity(spark):
     assert toxicity.scored_documents(table, rated.limit(0)).where("flagged").count() == 0
 
 
+def test_all_held_out_scores_count(spark, monkeypatch):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    texts = [f"dish {word(i)} was {'vile' if i < 100 else 'fine'}" for i in range(3400)]
+    rated = spark.createDataFrame([(i, int(i < 400)) for i in range(3400)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "_scored", lambda df, models, which=None: df.withColumn("score", F.when(F.col("text").contains("vile"), 0.5).otherwise(0.1)))
+    # Of 3,000 ordinary documents of one score each makes the lower threshold worse.
+    assert toxicity.train_model(docs(spark, texts), rated).threshold == pytest.approx(0.3)
+
+
 def test_windows():
     assert toxicity.plain_window("You f.u.c.k.i.n.g IDIOOOOT") == "you fucking idiot"
     assert toxicity.plain_window("d1ckh3ad and 123") == "dickhead and 9"
