@@ -121,7 +121,7 @@ def _quoted(piece: str) -> bool:
 def parses(text: str, quoted_commas_only: bool) -> list[tuple[str, list[str]]]:
     """Every distinct reading of the field, as (dialect, values); a list in brackets has one reading.
 
-    Readings join up to three of the delimiters present, or all of them.
+    Readings join any of the delimiters present.
     """
     body, listed = text.strip(), False
     if len(body) >= 2 and body[0] in WRAPS and body[-1] == WRAPS[body[0]]:
@@ -136,7 +136,7 @@ def parses(text: str, quoted_commas_only: bool) -> list[tuple[str, list[str]]]:
     found: dict[tuple[str, ...], str] = {}
     if (whole := unquote(body)) and not (listed and present):
         found[(whole,)] = "one"
-    for size in sorted({*range(1, min(len(present), 3) + 1), len(present)} - {0}):
+    for size in range(1, len(present) + 1):
         for names in combinations(present, size):
             pieces = _pieces(body, paired, re.compile("|".join(DELIMITERS[n] for n in names)))
             if quoted_commas_only and _COMMAS & set(names) and not all(map(_quoted, pieces)):

@@ -36,6 +36,14 @@ def test_dialects(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_four_delimiters_of_five(spark):
+    text = "Red Fox Inn\nOld Mill, 5 High Street; Blue Door Cafe, 7 High Street|Sun & Moon, 9 High Street\tGreen Gate"
+    want = ["Red Fox Inn", "Old Mill, 5 High Street", "Blue Door Cafe, 7 High Street", "Sun & Moon, 9 High Street", "Green Gate"]
+    assert want in [v for _, v in parses(text, False)]
+    known = [*want, *(f"{w}; {v}" for w in want for v in want if v != w and "," not in v + w)]
+    assert run(spark, [text, *known, *(f"{n}, {i} High Street; {n}, {i} Mill Lane" for i, n in enumerate(NAMES))])[0] == want
+
+
 def test_missing_repeated_and_long(spark):
     long = "; ".join(f"Place {i}" for i in range(3000))
     got = run(spark, [None, "", "   ", "A; B", "A; B", ";;", long])
