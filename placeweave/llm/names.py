@@ -225,7 +225,7 @@ class Directory:
             tokens = tokens_of(piece)
             while len(tokens) > 1 and tokens[0][0] in ("the", "ye", "olde"):
                 tokens = tokens[1:]
-            if not tokens or len(tokens) > 9:
+            if not tokens:
                 continue
             found: dict = {}
             # Only a name that has words for the whole core of a house can stand for it.
