@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import io
+import pickle
 import re
 from collections import Counter
 from functools import lru_cache
-from itertools import chain, combinations, islice
+from itertools import chain, islice
 from math import log
 
 import numpy as np
@@ -20,23 +20,25 @@ from pyspark.sql import types as T
 from placeweave.llm.text import folded
 from placeweave.session import share_bytes, spread
 
-WINDOW = 14  # words; a stretch of 15 holds a whole one at every second start
-STRIDE = 2
-BLOCKS = (13, 13, 13, 13, 12)  # bits of each block of a fingerprint
-BLOCK_RADIUS = 2
-#: Two fingerprints within this distance agree, up to BLOCK_RADIUS bits, in one block at least.
-RADIUS = len(BLOCKS) * (BLOCK_RADIUS + 1) - 1
 MIN_WORDS = 15
 MAX_CHANGED = 8  # one word in so many
-MIN_AGREEMENT = 0.6  # of the weight of a window's words
-MIN_SIMILARITY = 0.3
+#: A stretch of MIN_WORDS words or more, one word in MAX_CHANGED of it changed, holds as many unchanged words in a row.
+WINDOW = 5
+BLOCKS = 4
+WIDTH = 64 // BLOCKS
+#: Two fingerprints within this distance agree in one block at least.
+RADIUS = BLOCKS - 1
+NEIGHBOURS = 2  # diagonals to either side, for words left out or put in
+SPAN = 16  # words, some of which in a row hold LEAST_SAME unchanged ones in any such stretch
+LEAST_SAME = 12
+COST_OF_CHANGE = 3.0
+LEAST_EVIDENCE = 9.0  # words of mean weight
 _MARKUP = re.compile(r"<[^<>]{0,300}>|&(?:[A-Za-z]{2,12}|#\d{1,6});")
-_WORD = re.compile(r"[a-z0-9]+")
-_SHIFTS = tuple(int(s) for s in np.cumsum((0, *BLOCKS))[:-1])
+_WORD = re.compile(r"[\u2e80-\u9fff\uf900-\ufaff]|[^\W_\u2e80-\u9fff\uf900-\ufaff]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Words without case, accents, punctuation, markup and layout."""
+    """Words without case, accents, punctuation, markup and layout; in scripts without blanks each character is one."""
     return _WORD.findall(folded(_MARKUP.sub(" ", text)) if len(text) < 4096 else folded.__wrapped__(_MARKUP.sub(" ", text)))
 
 
@@ -46,93 +48,96 @@ def passage_of(item_text: str) -> str:
     return " ".join(parts[1:-1]) if len(parts) > 2 else (max(parts, key=len) if parts else "")
 
 
-class _Signs:
-    """Rows of 64 signs for words, by a hash of the word; forgotten when there are too many."""
+class _Hashes:
+    """64-bit hashes of words; forgotten when there are too many."""
 
     def __init__(self, most: int = 400_000) -> None:
-        self.most, self.rows, self.known = most, np.zeros(0, np.uint64), {}
+        self.most, self.known = most, {}
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.known) > self.most:
             self.known = {}
         known = self.known
-        hashes = np.fromiter((known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
-        return hashes
+        return np.fromiter((known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
 
 
-def fingerprints(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """SimHash of each window of so many words: bit b is set where most words of the window have it set."""
-    n = len(hashes) - window + 1
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of each window of WINDOW words: a bit is set where it is set in most of the words' hashes.
+
+    The five votes of all 64 bits are added at once, by two full adders over whole words.
+    """
+    n = len(hashes) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    for a in range(0, n, 32768):
-        part = hashes[a : min(n, a + 32768) + window - 1]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.zeros((len(part) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
-        most = (2 * (sums[window:] - sums[:-window]) > window).astype(np.uint8)
-        out[a : a + len(most)] = np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
-
-
-def build_index(prints: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> bytes:
-    """For each block, the windows whose block is within BLOCK_RADIUS of each value a block can have; the windows' words and their weights."""
-    arrays = {"prints": prints, "hashes": hashes, "weights": weights}
-    for b, (width, shift) in enumerate(zip(BLOCKS, _SHIFTS)):
-        own = ((prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int32)
-        flips = [sum(1 << i for i in c) for c in chain.from_iterable(combinations(range(width), k) for k in range(BLOCK_RADIUS + 1))]
-        keys = (own[:, None] ^ np.array(flips, np.int32)[None, :]).ravel()
-        order = np.argsort(keys, kind="stable")
-        arrays[f"entry{b}"] = (order // len(flips)).astype(np.int32)
-        arrays[f"start{b}"] = np.searchsorted(keys[order], np.arange((1 << width) + 1)).astype(np.int32)
-    buffer = io.BytesIO()
-    np.savez(buffer, **arrays)
-    return buffer.getvalue()
-
-
-@lru_cache(maxsize=2)
-def _index(name: str) -> dict[str, np.ndarray]:
-    with np.load(SparkFiles.get(name)) as z:
-        return {k: z[k] for k in z.files}
-
-
-def near_windows(prints: np.ndarray, index: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (position in prints, window of the index) within RADIUS bits of each other."""
-    theirs, left, right = index["prints"], [], []
-    for a in range(0, len(prints), 8192):
-        mine = prints[a : a + 8192]
-        for b, (width, shift) in enumerate(zip(BLOCKS, _SHIFTS)):
-            key = ((mine >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int32)
-            start = index[f"start{b}"][key]
-            count = index[f"start{b}"][key + 1] - start
-            total = int(count.sum())
-            if not total:
-                continue
-            who = np.repeat(np.arange(len(mine), dtype=np.int32), count)
-            at = np.arange(total, dtype=np.int32) - np.repeat(np.cumsum(count, dtype=np.int32) - count - start, count)
-            entry = index[f"entry{b}"][at]
-            near = np.flatnonzero(np.bitwise_count(mine[who] ^ theirs[entry]) <= RADIUS)
-            left.append(who[near].astype(np.int64) + a)
-            right.append(entry[near])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def weighted_agreement(words: np.ndarray, at: np.ndarray, window: np.ndarray, index: dict[str, np.ndarray]) -> np.ndarray:
-    """For each pair of windows: the weight of the item's words that the document has at the same place, or one beside it, of the weight of all."""
-    out = np.empty(len(at))
-    padded = np.concatenate([np.zeros(1, np.uint64), words, np.zeros(1, np.uint64)])
-    steps = np.arange(WINDOW)
-    for a in range(0, len(at), 65536):
-        theirs, weight = index["hashes"][window[a : a + 65536]], index["weights"][window[a : a + 65536]]
-        place = at[a : a + 65536, None] + 1 + steps
-        same = padded[place] == theirs
-        for slip in (-1, 1):
-            same |= padded[place + slip] == theirs
-        out[a : a + len(place)] = (weight * same).sum(1) / weight.sum(1)
-    return out
+    a, b, c, d, e = (hashes[i : i + n] for i in range(WINDOW))
+    half = a ^ b
+    ones, twos = half ^ c, (a & b) | (half & c)
+    half = ones ^ d
+    more = (ones & d) | (half & e)
+    return (twos & more) | ((twos ^ more) & (half ^ e))
+
+
+class Index:
+    """Windows of the items' passages by the blocks of their fingerprints, with the passages' words and weights."""
+
+    def __init__(self, passages: list[tuple], weight: dict[str, float]) -> None:
+        self.passages, self.weight = passages, weight
+        hashes = [_Hashes().of(w) for _, w in passages]
+        prints = [fingerprints(h) for h in hashes]
+        self.prints = np.concatenate(prints)
+        self.item = np.repeat(np.arange(len(prints), dtype=np.int32), [len(p) for p in prints])
+        self.start = np.concatenate([np.arange(len(p), dtype=np.int32) for p in prints])
+        self.length = np.array([len(h) for h in hashes])
+        self.words = np.zeros((len(hashes), int(self.length.max())), np.uint64)
+        for k, h in enumerate(hashes):
+            self.words[k, : len(h)] = h
+        self.entry, self.first = [], []
+        for b in range(BLOCKS):
+            keys = self._block(self.prints, b)
+            order = np.argsort(keys, kind="stable")
+            self.entry.append(order.astype(np.int32))
+            self.first.append(np.searchsorted(keys[order], np.arange((1 << WIDTH) + 1)).astype(np.int32))
+
+    @staticmethod
+    def _block(prints: np.ndarray, b: int) -> np.ndarray:
+        return ((prints >> np.uint64(b * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int32)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (position in prints, window of the index) within RADIUS bits of each other, by the blocks they share."""
+        left, right = [], []
+        for a in range(0, len(prints), 1 << 18):
+            mine = prints[a : a + (1 << 18)]
+            for b in range(BLOCKS):
+                key = self._block(mine, b)
+                first = self.first[b][key]
+                count = self.first[b][key + 1] - first
+                some = np.flatnonzero(count)
+                count, first = count[some], first[some]
+                who = np.repeat(some, count)
+                at = np.arange(len(who)) - np.repeat(np.cumsum(count) - count - first, count)
+                entry = self.entry[b][at]
+                close = np.flatnonzero(np.bitwise_count(mine[who] ^ self.prints[entry]) <= RADIUS)
+                left.append(who[close] + a)
+                right.append(entry[close])
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def alike(self, every: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """For each pair of a document (its words begin:end of `every`) and item: how many of SPAN words of the item in a row, at most, stand at their place, `shift` after it, or near it."""
+        out = np.empty(len(item), np.int32)
+        steps = np.arange(self.words.shape[1])
+        for a in range(0, len(item), 8192):
+            part = slice(a, a + 8192)
+            base = (begin[part] + shift[part])[:, None] + steps
+            inside = steps < self.length[item[part]][:, None]
+            same = np.zeros(base.shape, bool)
+            for slip in range(-NEIGHBOURS, NEIGHBOURS + 1):
+                place = base + slip
+                there = inside & (place >= begin[part][:, None]) & (place < end[part][:, None])
+                same |= there & (every[np.clip(place, 0, len(every) - 1)] == self.words[item[part]])
+            sums = np.zeros((len(same), same.shape[1] + 1), np.int32)
+            np.cumsum(same, axis=1, out=sums[:, 1:])
+            out[part] = (sums[:, SPAN:] - sums[:, :-SPAN]).max(1) if sums.shape[1] > SPAN else sums[:, -1]
+        return out
 
 
 def longest_stretch(same: list[bool]) -> tuple[int, int, int]:
@@ -207,55 +212,87 @@ def shingle_similarity(left: list[str], right: list[str], weight: dict[str, floa
     return both / every if every else 0.0
 
 
-def _weights(passages: list[tuple[int, list[str]]]) -> dict[str, float]:
+def weights_of(passages: list[tuple]) -> dict[str, float]:
+    """Weight of each word: the rarer among the passages, the more; their mean is 1."""
     df = Counter(chain.from_iterable(set(w) for _, w in passages))
-    return {w: log(1 + len(passages) / n) for w, n in df.items()}
-
-
-def _scan(name: str, passages: list[tuple[int, list[str]]], windows: list[tuple[int, int]]):
-    weight, signs = _weights(passages), _Signs()
-
-    def check(doc: list[str], near: list[tuple[int, int]]):
-        """near: (position in the document, window of the index)."""
-        seen, best = set(), {}
-        for at, w in near:
-            k, start = windows[w]
-            if (k, at - start) in seen:
-                continue
-            seen.add((k, at - start))
-            item_id, item = passages[k]
-            # The stretch runs through this window: words before it are compared backwards, those after it forwards.
-            ahead = aligned(doc[at : at + len(item) + 8], item[start:], 0)
-            behind = aligned(doc[max(0, at - len(item) - 8) : at][::-1], item[:start][::-1], 0)
-            same = behind[::-1] + ahead
-            a, b, changed = longest_stretch(same)
-            if b - a < MIN_WORDS:
-                continue
-            i, j = at - len(behind) + a, start - len(behind) + a
-            similarity = shingle_similarity(doc[max(0, i) : i + b - a], item[max(0, j) : j + b - a], weight)
-            if similarity >= MIN_SIMILARITY and (b - a, similarity) > best.get(item_id, (0, 0.0))[:2]:
-                best[item_id] = (b - a, similarity, changed)
-        return best
+    raw = {w: log(1 + len(passages) / n) for w, n in df.items()}
+    mean = sum(raw[w] for _, words in passages for w in words) / max(1, sum(len(w) for _, w in passages))
+    return {w: x / mean for w, x in raw.items()}
+
+
+def evidence(same: list[bool], words: list[str], weight: dict[str, float]) -> float:
+    """The weight of the unchanged words less COST_OF_CHANGE times that of the changed ones.
+
+    Passages written to one pattern share its common words and differ in the rare
+    ones, names and numbers, whose change costs most.
+    """
+    return sum(weight[w] if x else -COST_OF_CHANGE * weight[w] for w, x in zip(words, same))
+
+
+def compared(doc: list[str], item: list[str], at: int, start: int, weight: dict[str, float]) -> tuple[int, int, float] | None:
+    """(words, changed words, similarity) of the longest good stretch through doc[at:] and item[start:], which begin alike; None where there is none."""
+    ahead = aligned(doc[at : at + len(item) + 8], item[start:], 0)
+    behind = aligned(doc[max(0, at - len(item) - 8) : at][::-1], item[:start][::-1], 0)
+    same = behind[::-1] + ahead
+    a, b, changed = longest_stretch(same)
+    if b - a < MIN_WORDS:
+        return None
+    i, j = at - len(behind) + a, max(0, start - len(behind) + a)
+    mine, theirs = doc[max(0, i) : i + b - a], item[j : j + b - a]
+    if evidence(same[a:b], theirs, weight) < LEAST_EVIDENCE:
+        return None
+    return b - a, changed, shingle_similarity(mine, theirs, weight)
+
+
+@lru_cache(maxsize=2)
+def _index(name: str) -> Index:
+    """The index handed over by `share_bytes`, built once per worker."""
+    with open(SparkFiles.get(name), "rb") as f:
+        passages = pickle.load(f)
+    return Index(passages, weights_of(passages))
+
+
+def found_in(texts: list, index: Index, hashes: _Hashes) -> list[tuple]:
+    """(position of the text, item, words, changed words, similarity) of each text and item with a stretch in common."""
+    docs = [words_of(t) if t else [] for t in texts]
+    offset = np.cumsum([0, *map(len, docs)])
+    every = hashes.of(list(chain.from_iterable(docs)))
+    prints = fingerprints(every)
+    owner = np.repeat(np.arange(len(docs)), np.diff(offset))[: len(prints)]
+    inside = np.flatnonzero(np.arange(len(prints)) + WINDOW <= offset[owner + 1])
+    left, right = index.near(prints[inside])
+    at = inside[left]
+    doc, item = owner[at], index.item[right]
+    shift = at - offset[doc] - index.start[right]
+    # One look at each document, item and diagonal; the first window found there stands for the others.
+    order = np.lexsort((at, shift, item, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(doc[order]) != 0) | (np.diff(item[order]) != 0) | (np.diff(shift[order]) != 0)
+    one = order[new]
+    one = one[index.alike(every, offset[doc[one]], offset[doc[one] + 1], item[one], shift[one]) >= LEAST_SAME]
+    good = set(zip(doc[one].tolist(), item[one].tolist(), shift[one].tolist()))
+    best: dict[tuple[int, int], tuple] = {}
+    passed: dict[tuple[int, int, int], int] = {}
+    for x in order[np.isin(doc[order], doc[one])].tolist() if len(one) else ():
+        d, k, s = int(doc[x]), int(item[x]), int(shift[x])
+        here = int(at[x] - offset[d])
+        # Windows inside a stretch already compared say nothing new.
+        if (d, k, s) not in good or here < passed.get((d, k, s), -1):
+            continue
+        start = int(index.start[right[x]])
+        got = compared(docs[d], index.passages[k][1], here, start, index.weight)
+        passed[d, k, s] = here + MIN_WORDS
+        if got and got > best.get((d, k), (0,)):
+            best[d, k] = got
+    return [(d, index.passages[k][0], *got) for (d, k), got in sorted(best.items())]
+
 
+def _scan(name: str):
     def run(batches):
-        index = _index(name)
+        hashes = _Hashes()
         for whole in batches:
             for batch in (whole.iloc[i : i + 2000] for i in range(0, len(whole), 2000)):
-                docs = [words_of(t) if t else [] for t in batch["text"]]
-                offset = np.cumsum([0, *map(len, docs)])
-                every = signs.of(list(chain.from_iterable(docs)))
-                prints = fingerprints(every)
-                owner = np.repeat(np.arange(len(docs)), np.diff(offset))[: len(prints)]
-                inside = np.flatnonzero(np.arange(len(prints)) + WINDOW <= offset[owner + 1])
-                left, right = near_windows(prints[inside], index)
-                at = inside[left]
-                kept = np.flatnonzero(weighted_agreement(every, at, right, index) >= MIN_AGREEMENT)
-                by: dict[int, list] = {}
-                for x, w in zip(at[kept].tolist(), right[kept].tolist()):
-                    by.setdefault(int(owner[x]), []).append((x - int(offset[owner[x]]), w))
-                rows = []
-                for d, near in by.items():
-                    rows += [(batch["doc_id"].iloc[d], item_id, n, changed, similarity) for item_id, (n, similarity, changed) in check(docs[d], sorted(near)).items()]
+                rows = [(batch["doc_id"].iloc[d], *rest) for d, *rest in found_in(list(batch["text"]), _index(name), hashes)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "n_changed", "similarity"])
 
     return run
@@ -266,17 +303,19 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame, block_items: int =
 
     A stretch has 15 words at least and at most one changed word in eight, case,
     accents, punctuation, markup and layout apart. Columns: `doc_id`, `item_id`,
-    `n_words` and `n_changed` of the longest stretch, `similarity` of the window it
-    was found by.
-
-    Every window of 14 words of a document is looked up in a multi-index over the
-    SimHashes of the passages' windows, which finds all fingerprints within 14 of
-    64 bits; the finds are verified by the weighted similarity of their shingles and
-    then word by word. Items are taken in blocks of block_items, each of which is
-    indexed on the driver and scanned against all documents, whole. Null and empty texts hold nothing;
-    an item of fewer than 15 words in its passage can't be found; repeated document
-    rows give repeated rows; an empty table gives an empty one; other columns are
-    ignored.
+    `n_words` and `n_changed` of the longest stretch, `similarity` of the two sides'
+    weighted shingles there.
+
+    Such a stretch holds five unchanged words in a row. Every window of five words of
+    a document is looked up in a multi-index over the SimHashes of the passages'
+    windows, which finds all fingerprints within 3 of 64 bits, so that no stretch is
+    missed; finds are counted out along their diagonal and then verified word by
+    word, by the weight of the words that are unchanged and changed. A passage that
+    agrees in the words of a common pattern only, its names and numbers changed, is
+    another passage. Items are taken in blocks of block_items, each scanned against
+    all documents, whole. Null and empty texts hold nothing; an item of fewer than
+    15 words in its passage can't be found; repeated document rows give repeated
+    rows; an empty table gives an empty one; other columns are ignored.
     """
     spark = documents.sparkSession
     schema = T.StructType(
@@ -288,15 +327,7 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame, block_items: int =
     items = eval_items.select("item_id", "item_text").where(F.col("item_text").isNotNull()).toLocalIterator()
     while block := list(islice(items, block_items)):
         passages = [(r["item_id"], w) for r in block if len(w := words_of(passage_of(r["item_text"]))) >= MIN_WORDS]
-        weight = _weights(passages)
-        windows, prints, hashes, weights = [], [], [], []
-        for k, (_, words) in enumerate(passages):
-            own = _Signs().of(words)
-            prints.append(fingerprints(own)[::STRIDE])
-            windows += [(k, STRIDE * i) for i in range(len(prints[-1]))]
-            hashes.append(np.lib.stride_tricks.sliding_window_view(own, WINDOW)[::STRIDE])
-            weights.append(np.lib.stride_tricks.sliding_window_view(np.array([weight[w] for w in words], np.float32), WINDOW)[::STRIDE])
-        if windows:
-            name = share_bytes(spark, build_index(*map(np.concatenate, (prints, hashes, weights))), "windows")
-            out = out.unionByName(texts.mapInPandas(_scan(name, passages, windows), schema))
+        if passages:
+            name = share_bytes(spark, pickle.dumps(passages), "passages")
+            out = out.unionByName(texts.mapInPandas(_scan(name), schema))
     return out

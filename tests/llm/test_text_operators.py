@@ -132,16 +132,41 @@ def test_leaks(spark):
 
 def test_multi_index_is_exact():
     rng = np.random.default_rng(1)
-    theirs = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) if k else np.uint64(0) for k in rng.integers(0, 20, 3000)])
-    mine = theirs[rng.integers(0, 300, 3000)] ^ flips
-    index = leakage.build_index(theirs, np.zeros((300, 1), np.uint64), np.ones((300, 1), np.float32))
-    import io
-
-    with np.load(io.BytesIO(index)) as z:
-        left, right = leakage.near_windows(mine, {k: z[k] for k in z.files})
-    near = np.bitwise_count(mine[:, None] ^ theirs[None, :]) <= leakage.RADIUS
+    words = [f"w{i}" for i in range(400)]
+    index = leakage.Index([(1, words), (2, words[:40])], dict.fromkeys(words, 1.0))
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) if k else np.uint64(0) for k in rng.integers(0, 7, 3000)])
+    mine = index.prints[rng.integers(0, len(index.prints), 3000)] ^ flips
+    left, right = index.near(mine)
+    near = np.bitwise_count(mine[:, None] ^ index.prints[None, :]) <= leakage.RADIUS
     assert set(zip(left.tolist(), right.tolist())) == set(zip(*map(list, np.nonzero(near))))
+    # A fingerprint is the majority of its words' bits.
+    hashes = leakage._Hashes().of(words[:9])
+    bits = [[sum(int(h) >> b & 1 for h in hashes[i : i + leakage.WINDOW]) * 2 > leakage.WINDOW for b in range(64)] for i in range(5)]
+    assert [[bool(int(p) >> b & 1) for b in range(64)] for p in leakage.fingerprints(hashes)] == bits
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9))
+def test_no_stretch_is_missed(seed):
+    """Every stretch of the definition is found, wherever its changes are; one of fewer words, or of too many changes, is not."""
+    rng = random.Random(seed)
+    item = [f"i{i}" for i in range(80)]
+    index = leakage.Index([(7, item)], dict.fromkeys(item, 1.0))
+    n, start = rng.randint(15, 60), rng.randint(0, 20)
+    part = item[start : start + n]
+    for at in rng.sample(range(1, n - 1), n // leakage.MAX_CHANGED):
+        part[at] = "x"
+    text = " ".join([f"d{rng.random()}" for _ in range(rng.randint(0, 30))] + part + ["y"] * 20)
+    found = leakage.found_in([text, " ".join(item[:14]), " ".join("x" if i % 5 == 4 else w for i, w in enumerate(item))], index, leakage._Hashes())
+    evidence = n - (leakage.COST_OF_CHANGE + 1) * (n // leakage.MAX_CHANGED)
+    assert [f[0] for f in found] == ([0] if evidence >= leakage.LEAST_EVIDENCE else [])
+
+
+def test_words_without_blanks():
+    assert leakage.words_of("Café <b>燒鵝</b> 12 すし") == ["cafe", "燒", "鵝", "12", "す", "し"]
+    item = "昔この店の主人は港の市場で毎朝魚を選び夕方まで一人で鍋を見ていた"
+    index = leakage.Index([(1, leakage.words_of(item))], dict.fromkeys(leakage.words_of(item), 1.0))
+    assert [f[0] for f in leakage.found_in(["そして" + item[3:25] + "という。", item[:10]], index, leakage._Hashes())] == [0]
 
 
 @settings(max_examples=300, deadline=None)
