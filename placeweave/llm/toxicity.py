@@ -20,10 +20,11 @@ from placeweave.session import cut, spread
 
 WINDOW_CHARS = 160
 DICTIONARY_BYTES = 96 << 10
-LEVEL = 9
-COVERED = 0.45
+SEGMENT, MER = 200, 8  # bytes the trainer takes at a time, and by which it counts
+LEVEL = 12
 FOLDS = 4
-TELLING_SHARE = 1 / 8
+GROUP_WINDOWS = 3
+TELLING_SHARE = 1 / 20
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|(?<=[。！？；])|\s*\n+\s*|\s+[|•·]\s+|<[^<>]{0,300}>")
 _SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:([.\-_*·~+ ])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
@@ -59,24 +60,13 @@ def windows_of(text: str) -> list[str]:
 
 
 def train_dictionary(windows: list[str]) -> bytes:
-    """A zstandard dictionary trained on the windows, the most important first.
-
-    A window goes in where those already in don't compress it to COVERED of its
-    bytes, until the dictionary is full; the most important stand at its end, where
-    they are cheapest to refer to.
-    """
-    parts: list[bytes] = []
-    size, built, measure = 0, 0, None
-    for raw in (w.encode() for w in windows):
-        if measure is not None and measure(raw) <= COVERED * len(raw) + 4:
-            continue
-        parts.append(raw)
-        size += len(raw) + 1
-        if size >= DICTIONARY_BYTES:
-            break
-        if size >= max(64, built * 1.03):
-            measure, built = _measure.__wrapped__(b"\n".join(reversed(parts))), size
-    return b"\n".join(reversed(parts))[-DICTIONARY_BYTES:].rjust(8, b"\n")
+    """A zstandard dictionary trained on the windows by the library's trainer; the windows themselves where they are too few for it."""
+    samples = [w.encode() for w in windows]
+    size = min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 3))
+    try:
+        return zstandard.train_dictionary(size, samples, level=LEVEL, k=SEGMENT, d=MER).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(samples)[-DICTIONARY_BYTES:].rjust(8, b"\n")
 
 
 @lru_cache(maxsize=8)
@@ -91,7 +81,7 @@ def _measure(dictionary: bytes):
 
 
 def window_scorer(toxic: bytes, ordinary: bytes):
-    """The function from a plain window to its score: by which share the toxic dictionary compresses it shorter than the ordinary one."""
+    """The function from a plain window to its score: by which share it is shorter when compressed with the toxic dictionary as well."""
     by_toxic, by_ordinary, memo = _measure(toxic), _measure(ordinary), {}
 
     def score(window: str) -> float:
@@ -132,19 +122,19 @@ def shingles(window: str) -> set[str]:
     return out
 
 
-def telling_shingles(rows: list[tuple], documents: tuple[int, int], places: int = 4) -> set[str]:
+def telling_shingles(rows: list[tuple], documents: tuple[int, int], groups: int = 4) -> set[str]:
     """Shingles so much more frequent in toxic documents that chance explains less than one of all shingles.
 
-    Edited reposts of one document make whatever it says look frequent; they tell of
-    one city, so that shingles of fewer than `places` cities don't count.
+    Edited reposts of one document make whatever it says look frequent; shingles of
+    fewer than `groups` groups of reposts don't count.
     """
-    tox, ok, cities = Counter(), Counter(), defaultdict(set)
+    tox, ok, found = Counter(), Counter(), defaultdict(set)
     for window, n_tox, n_ok, where in rows:
         for g in shingles(window):
             if n_tox:
                 tox[g] += n_tox
-                if len(cities[g]) < places:
-                    cities[g].update(where)
+                if len(found[g]) < groups:
+                    found[g].update(where)
             if n_ok:
                 ok[g] += n_ok
     share = documents[0] / max(1, sum(documents))
@@ -154,7 +144,7 @@ def telling_shingles(rows: list[tuple], documents: tuple[int, int], places: int
     for g, k in tox.items():
         n = k + ok[g]
         p = k / n
-        if len(cities[g]) >= places and p > max(0.5, share) and n * (p * log(p / share) + ((1 - p) * log((1 - p) / (1 - share)) if p < 1 else 0.0)) > need:
+        if len(found[g]) >= groups and p > max(0.5, share) and n * (p * log(p / share) + ((1 - p) * log((1 - p) / (1 - share)) if p < 1 else 0.0)) > need:
             out.add(g)
     return out
 
@@ -165,40 +155,41 @@ def _drawn(weighted: Iterable[tuple[str, int]]) -> list[str]:
 
 
 def _refine(rows: list[tuple], documents: tuple[int, int]) -> tuple[bytes, bytes]:
-    """(window, toxic documents, ordinary documents, cities of toxic ones) to the two dictionaries.
+    """(window, toxic documents, ordinary documents, groups of toxic ones) to the two dictionaries.
 
     Toxic documents hold ordinary windows as well, and some ratings are wrong. Toxic
-    are the windows, a share of whose shingles tell, that more toxic documents have
-    than ordinary ones; where there are too few ratings to tell any shingle, those that no
-    ordinary document has. Ordinary are the
-    windows of ordinary documents, but those made mostly of telling shingles.
+    are the windows, TELLING_SHARE of whose shingles tell, that more toxic documents
+    have than ordinary ones; where there are too few ratings to tell any shingle,
+    those that no ordinary document has. Ordinary are the windows of ordinary
+    documents, but those made mostly of telling shingles. The toxic dictionary stands
+    before the ordinary one, so that ordinary text is coded alike with and without it
+    and a window's gain is what the toxic one alone explains.
     """
     telling = telling_shingles(rows, documents)
-    # The more ratings, the more of a toxic window's shingles have had the chance to tell.
-    share = min(TELLING_SHARE, documents[0] / 8000)
     toxic_rows, ordinary_rows = [], []
     for r in rows:
         own = shingles(r[0]) if telling else set()
         told = len(own & telling)
-        if r[1] > r[2] and (told > 0 and told >= share * len(own) if telling else not r[2]):
+        if r[1] > r[2] and (told > 0 and told >= TELLING_SHARE * len(own) if telling else not r[2]):
             toxic_rows.append(r)
         elif r[2] > 0 and 3 * told < len(own) + 1:
             ordinary_rows.append(r)
     ordinary = train_dictionary(_drawn((r[0], r[2]) for r in ordinary_rows))
-    own = train_dictionary(_drawn((r[0], r[1]) for r in toxic_rows))[-DICTIONARY_BYTES // 2 :]
-    # Toxic documents hold ordinary text too; with it, both dictionaries are as long, and a reference costs the same in either.
-    return ordinary[-(DICTIONARY_BYTES - len(own)) :] + b"\n" + own, ordinary
+    return train_dictionary(_drawn((r[0], r[1]) for r in toxic_rows)) + b"\n" + ordinary, ordinary
+
 
+def _best(scores: list[tuple[float, float, int]], near: float = 0.98, recall_weight: float = 0.5) -> float:
+    """The threshold in the middle of those at which the weighted harmonic mean of precision and recall is, all but `near`, greatest; of (score, rating, documents).
 
-def _best(scores: list[tuple[float, float, int]], near: float = 0.98) -> float:
-    """The threshold in the middle of those at which the harmonic mean of precision and recall is, all but `near`, greatest; of (score, rating, documents)."""
+    Precision weighs twice as much: with few ratings nearly every threshold catches as much, the lowest by flagging everything.
+    """
     scores = sorted(scores, reverse=True)
     every, hits, seen, found = sum(y * n for _, y, n in scores), 0.0, 0, []
     for i, (s, y, n) in enumerate(scores):
         hits, seen = hits + y * n, seen + n
         below = scores[i + 1][0] if i + 1 < len(scores) else -1.0
         if below < s and every:
-            found.append((2 * hits / (seen + every), (s + below) / 2))
+            found.append(((1 + recall_weight) * hits / (seen + recall_weight * every), (s + below) / 2))
     top = max((f for f, _ in found), default=0.0)
     good = [at for f, at in found if f >= near * top]
     return (min(good) + max(good)) / 2 if good else 1.0
@@ -232,52 +223,49 @@ def train_model(documents: DataFrame, doc_labels: DataFrame, max_windows: int =
     """Dictionaries and threshold from the rated documents.
 
     A document counts as toxic where most of its raters say so, half of them being
-    neither; of reposts one counts. All rated documents are split into windows and
-    counted; max_windows distinct windows, drawn by their hash alike from both
-    sides, are the bound of what comes to the driver and train the dictionaries. The threshold is where precision and recall of the rated
-    documents balance best, each scored by dictionaries of the other folds. Without
-    rated documents of both sides the threshold is 1, which no document reaches.
+    neither; of equal texts of one rating one counts. Documents that share the least
+    hash among their GROUP_WINDOWS longest windows, as reposts do when a sentence of
+    them is changed, are a group and stay in one fold. All rated documents are split
+    into windows and counted; max_windows distinct windows, drawn by their hash alike
+    from both sides, are the bound of what comes to the driver and train the
+    dictionaries. The threshold is where precision and recall of the rated documents
+    balance best, each scored by dictionaries of the other folds. Without rated
+    documents of both sides the threshold is 1, which no document reaches.
     """
     rated = doc_labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.avg("toxic").alias("rate")).where(F.col("rate") != 0.5)
-    rated = rated.select("doc_id", (F.col("rate") > 0.5).cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
-    # Without a column of cities each document counts as of its own.
-    city = F.coalesce(F.col("city"), F.lit("")) if "city" in documents.columns else F.col("doc_id").cast("string")
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text", city.alias("city")).dropDuplicates(["doc_id"]).join(rated, "doc_id")
+    rated = rated.select("doc_id", (F.col("rate") > 0.5).cast("int").alias("toxic"))
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").dropDuplicates(["doc_id"]).join(rated, "doc_id")
     texts = texts.withColumn("windows", _windows("text")).where(F.size("windows") > 0)
-    # Reposts share their longest window; one of them counts, so that what only they have doesn't seem frequent.
-    longest = F.array_max(F.transform("windows", lambda w: F.struct(F.length(w), w)))
-    texts = cut(texts.withColumn("longest", F.xxhash64(longest)).dropDuplicates(["longest", "toxic"]).drop("longest"))
-    counted = (
-        texts.select("fold", "toxic", "city", F.explode("windows").alias("window"))
-        .groupBy("window").agg(*(F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), 1).otherwise(0)).alias(f"n{f}{t}") for f in range(FOLDS) for t in (0, 1)), *(F.slice(F.collect_set(F.when((F.col("fold") == f) & (F.col("toxic") == 1), F.col("city"))), 1, 8).alias(f"c{f}") for f in range(FOLDS)))
-    )
-    counted = cut(counted)
-
+    longest = F.slice(F.sort_array(F.transform("windows", lambda w: F.struct(F.length(w), w.alias("w"))), asc=False), 1, GROUP_WINDOWS)
+    texts = texts.withColumn("same", F.xxhash64("windows")).dropDuplicates(["same", "toxic"]).withColumn("group", F.array_min(F.transform(longest, lambda x: F.xxhash64(x["w"]))))
+    texts = cut(texts.select("doc_id", "text", "toxic", "windows", "group", F.pmod("group", F.lit(FOLDS)).cast("int").alias("fold")))
+    counts = [F.count_if((F.col("fold") == f) & (F.col("toxic") == t)).alias(f"n{f}{t}") for f in range(FOLDS) for t in (0, 1)]
+    groups = [F.slice(F.collect_set(F.when((F.col("fold") == f) & (F.col("toxic") == 1), F.col("group"))), 1, 8).alias(f"g{f}") for f in range(FOLDS)]
+    counted = texts.select("fold", "toxic", "group", F.explode("windows").alias("window")).groupBy("window").agg(*counts, *groups)
+    drawn = counted.orderBy(F.xxhash64("window"), "window").limit(max_windows).collect()
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in texts.groupBy("fold", "toxic").count().collect()}
 
     def fit(folds: tuple[int, ...]) -> tuple[bytes, bytes]:
-        n = {t: sum(F.col(f"n{f}{t}") for f in folds) for t in (0, 1)}
-        cities = F.concat(*(F.col(f"c{f}") for f in folds))
-        both = counted.select("window", n[1].alias("tox"), n[0].alias("ok"), cities.alias("cities")).where(F.col("tox") + F.col("ok") > 0)
-        rows = [(r["window"], r["tox"], r["ok"], r["cities"]) for r in both.orderBy(F.xxhash64("window"), "window").limit(max_windows).collect()]
-        return _refine(rows, tuple(sum(sizes.get((f, t), 0) for f in folds) for t in (1, 0)))
+        rows = [(r["window"], *(sum(r[f"n{f}{t}"] for f in folds) for t in (1, 0)), [g for f in folds for g in r[f"g{f}"]]) for r in drawn]
+        return _refine([r for r in rows if r[1] + r[2]], tuple(sum(sizes.get((f, t), 0) for f in folds) for t in (1, 0)))
 
     models = [fit(tuple(g for g in range(FOLDS) if g != f)) for f in range(FOLDS)]  # each fold is scored by what the others say
     held_out = _scored(texts, models, "fold").groupBy(F.round("score", 4).alias("score"), "toxic").count().collect()
     rated_scores = [(r["score"], float(r["toxic"]), r["count"]) for r in held_out]
-    return ToxicityModel(*fit(tuple(range(FOLDS))), threshold=max(0.02, _best(rated_scores)) if len({y for _, y, _ in rated_scores}) == 2 else 1.0)
+    return ToxicityModel(*fit(tuple(range(FOLDS))), threshold=_best(rated_scores) if len({y for _, y, _ in rated_scores}) == 2 else 1.0)
 
 
 def scored_documents(documents: DataFrame, doc_labels: DataFrame) -> DataFrame:
     """One row per document: `doc_id`, `source`, `score` (-1 for documents without text), `worst_window` and `flagged`.
 
-    The score is that of the document's worst window, whole texts being scored.
+    The score is that of the document's worst window, whole texts being scored; a
+    document none of whose windows the toxic dictionary shortens is not flagged.
     Null, empty and blank texts score -1 and are never flagged; repeated rows are
     scored each; other columns are ignored; an empty table gives an empty one.
     """
     model = train_model(documents, doc_labels)
     out = _scored(spread(documents.select("doc_id", "source", "text")), [(model.toxic, model.ordinary)])
-    return out.select("doc_id", "source", F.round("score", 6).alias("score"), "worst_window", (F.col("score") >= model.threshold).alias("flagged"))
+    return out.select("doc_id", "source", F.round("score", 6).alias("score"), "worst_window", ((F.col("score") > 0) & (F.col("score") >= model.threshold)).alias("flagged"))
 
 
 def source_rates(scored: DataFrame) -> DataFrame:
