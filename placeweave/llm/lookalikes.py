@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeweave.llm.text import consistent_form, skeleton
+from placeweave.llm.text import ALIKE, consistent_form, skeleton
 
 
 @F.pandas_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("skeleton", T.StringType())]))
@@ -20,6 +20,16 @@ def _forms(values: pd.Series) -> pd.DataFrame:
 _forms = _forms.asNondeterministic()
 
 
+def skeleton_of_ascii(value: str) -> Column:
+    """The skeleton of an ASCII text, inside the JVM."""
+    single = {k: v for k, v in ALIKE.items() if k.isascii() and len(v) == 1}
+    out = F.translate(F.col(value), "".join(single), "".join(single.values()))
+    for k, v in ALIKE.items():
+        if k.isascii() and len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    return out
+
+
 def consistent_values(values: DataFrame, value: str = "value") -> DataFrame:
     """Adds `form`, the value in plain characters, `skeleton`, what it looks like, and `deviates`.
 
@@ -32,16 +42,32 @@ def consistent_values(values: DataFrame, value: str = "value") -> DataFrame:
     out = values.withColumn("__f", F.when(mixed.isNotNull(), _forms(mixed)))
     return (
         out.withColumn("form", F.when(plain, F.col(value)).otherwise(F.col("__f.form")))
-        .withColumn("skeleton", F.when(plain, F.col(value)).otherwise(F.col("__f.skeleton")))
+        .withColumn("skeleton", F.when(plain, skeleton_of_ascii(value)).otherwise(F.col("__f.skeleton")))
         .withColumn("deviates", F.coalesce(F.col("form") != F.col(value), F.lit(False)))
         .drop("__f")
     )
 
 
 def deviating_values(values: DataFrame, value: str = "value") -> DataFrame:
-    """The rows of `consistent_values` whose value holds other characters than its plain form."""
+    """The rows whose value is in a group of equal skeletons without being a plain spelling of it; `form`, the plain one, and `skeleton` are added.
+
+    A group's plain spellings are its ASCII members and the consistent forms of all
+    its members. A value beside an ASCII member deviates, whatever its alphabet, as
+    does one that is not its own consistent form; a value alone in its group, or
+    beside others of its alphabet, is a spelling of its own. ASCII values never
+    deviate: words that only look alike, as with rn and m, are two words.
+
+    Each distinct value is folded once, ASCII ones inside the JVM. Null and empty
+    values come out nowhere; repeated rows each do; an empty table gives none.
+    """
     odd = values.where(F.col(value).rlike(r"[^\x00-\x7F]"))
-    return odd.withColumn("__f", _forms(F.col(value))).select(*odd.columns, "__f.form", "__f.skeleton").where(F.col("form") != F.col(value))
+    distinct = odd.select(F.col(value).alias("__v")).distinct()
+    members = distinct.withColumn("__f", _forms(F.col("__v"))).select("__v", "__f.form", "__f.skeleton")
+    plain = values.where(~F.col(value).rlike(r"[^\x00-\x7F]")).select(skeleton_of_ascii(value).alias("skeleton"), F.col(value).alias("__p"))
+    plain = plain.groupBy("skeleton").agg(F.min("__p").alias("__p"))
+    found = members.join(plain, "skeleton", "left").where((F.col("form") != F.col("__v")) | F.col("__p").isNotNull())
+    found = found.select("__v", F.when(F.col("form") != F.col("__v"), F.col("form")).otherwise(F.col("__p")).alias("form"), "skeleton")
+    return odd.join(found, odd[value].eqNullSafe(found["__v"])).drop("__v")
 
 
 def spelling_groups(values: DataFrame, value: str = "value") -> DataFrame:

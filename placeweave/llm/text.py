@@ -13,26 +13,32 @@ INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\
 BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 HYPHENS = "\u2010\u2011\u2212\ufe63\uff0d"
 ORDINALS = "ªº№"
-# Cyrillic and Greek letters and the Latin letters they look like.
+# Letters of other alphabets and the Latin letters they look like: Cyrillic, Greek, Armenian, Coptic, Cherokee, Lisu.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ь": "b",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I", "ү": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ο": "o", "ν": "v", "α": "a", "ι": "i", "ρ": "p", "υ": "u", "κ": "k", "γ": "y", "χ": "x", "ϲ": "c", "ϳ": "j",
     "в": "b", "к": "k", "м": "m", "н": "h", "т": "t",
+    "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Ս": "U",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲭ": "X",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
+#: Alphabets of LOOKALIKES.
+SCRIPTS = ("Greek", "Cyrillic", "Armenian", "Coptic", "Cherokee", "Lisu")
+# Signs that look alike within plain text, and phonetic letters like plain ones; they meet in the skeleton only.
+ALIKE = {"0": "O", "1": "l", "I": "l", "|": "l", "m": "rn", "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʋ": "v", "ꞵ": "ß", "β": "ß", "’": "'", "‘": "'", "´": "'", "ʼ": "'"}
 #: Letters that look like Latin ones in some types only: they stand for Latin beside Latin letters, and are no proof that a whole word is disguised.
 WEAK = set("вкмнтЬαικργχνυ")
 
 _ERASE = dict.fromkeys(map(ord, INVISIBLE))
 _LINE_UP = _ERASE | dict.fromkeys(map(ord, BLANKS), " ") | dict.fromkeys(map(ord, HYPHENS), "-")
 _TO_LATIN = {ord(k): v for k, v in LOOKALIKES.items()}
-_FROM_LATIN = {
-    "Cyrillic": {ord(v): k for k, v in reversed(LOOKALIKES.items()) if "Ѐ" <= k <= "ԯ" and k not in WEAK},
-    "Greek": {ord(v): k for k, v in reversed(LOOKALIKES.items()) if "Ͱ" <= k <= "Ͽ" and k not in WEAK},
-}
+_SCRIPT = {name: regex.compile(rf"\p{{{name}}}") for name in SCRIPTS}
+_FROM_LATIN = {name: {ord(v): k for k, v in reversed(LOOKALIKES.items()) if p.match(k) and k not in WEAK} for name, p in _SCRIPT.items()}
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
-_FOREIGN = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
+_FOREIGN = regex.compile("[" + "".join(rf"\p{{{name}}}" for name in SCRIPTS) + "]")
 _MARK = regex.compile(r"\p{M}")
 _LATIN = regex.compile(r"\p{Latin}")
 
@@ -55,19 +61,39 @@ class _Prototypes(dict):
 _PLAIN = _Prototypes()
 
 
+def prototypes() -> dict[int, str]:
+    """The table of characters that a skeleton replaces, by rule and by list.
+
+    By rule: letters and digits of compatibility (full-width, mathematical, circled,
+    ligatures and the like) stand for what they decompose to. By list: letters of
+    other alphabets, and signs alike within plain text. A prototype is replaced in
+    its turn, so that a Greek I, a plain I and a 1 meet.
+    """
+    table = {code: p for code in range(0x80, 0x20000) if (p := prototype(chr(code))) != chr(code)}
+    table |= {ord(k): v for k, v in LOOKALIKES.items()}
+    table |= {ord(k): v for k, v in ALIKE.items()}
+    return {code: p.translate({ord(k): v for k, v in ALIKE.items()}) if p not in ALIKE.values() else p for code, p in table.items()} | _LINE_UP
+
+
+@lru_cache(maxsize=1)
+def _table() -> dict[int, str | None]:
+    return prototypes()
+
+
 def skeleton(text: str) -> str:
     """What the text looks like: decomposed, each character replaced by its prototype, decomposed again.
 
-    Texts of equal skeleton look alike. Case and accents are kept.
+    Texts of equal skeleton look alike. Case and accents are kept, and full-width
+    punctuation, which looks wider. `lookalikes.skeleton_of_ascii` says the same of
+    ASCII inside the JVM.
     """
-    if text.isascii():
-        return text
-    return unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text.translate(_LINE_UP)).translate(_TO_LATIN))
+    decompose = unicodedata.normalize
+    return decompose("NFD", decompose("NFD", text).translate(_table()))
 
 
 def _genuine(word: str, script: str) -> bool:
     """Whether the word has a letter of the alphabet that looks like no Latin letter."""
-    return any(ch not in LOOKALIKES for ch in regex.findall(rf"\p{{{script}}}", word))
+    return any(ch not in LOOKALIKES for ch in _SCRIPT[script].findall(word))
 
 
 def _one_alphabet(text: str) -> str:
@@ -75,15 +101,15 @@ def _one_alphabet(text: str) -> str:
     if not _FOREIGN.search(text):
         return text
     words = [m.group() for m in _WORD.finditer(text)]
-    real = {s for s in ("Greek", "Cyrillic") for w in words if not _LATIN.search(w) and _genuine(w, s)}
+    real = {s for s in SCRIPTS for w in words if not _LATIN.search(w) and _genuine(w, s)}
 
     def settle(m: regex.Match) -> str:
         word = m.group()
         if not _FOREIGN.search(word):
             return word
-        script = "Greek" if regex.search(r"\p{Greek}", word) else "Cyrillic"
+        script = next(s for s in SCRIPTS if _SCRIPT[s].search(word))
         if _LATIN.search(word):
-            if _genuine(word, script) and len(regex.findall(rf"\p{{{script}}}", word)) > len(_LATIN.findall(word)):
+            if _genuine(word, script) and len(_SCRIPT[script].findall(word)) > len(_LATIN.findall(word)):
                 return word.translate(_FROM_LATIN[script])
             return word.translate(_TO_LATIN)
         if script in real or _genuine(word, script) or any(ch in WEAK for ch in word):
