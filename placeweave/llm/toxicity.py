@@ -48,17 +48,23 @@ def plain_window(window: str) -> str:
     return _STRETCHED.sub(r"\1", s)
 
 
-def windows_of(text: str) -> list[str]:
-    """The whole text in plain windows: its sentences, long ones in overlapping pieces of WINDOW_CHARS."""
+def pieces_of(text: str) -> list[str]:
+    """The whole text in sentences, long ones in overlapping pieces of WINDOW_CHARS."""
     out = []
     for part in _SENTENCE.split(text):
         if part and (part := part.strip()):
-            for a in range(0, max(1, len(part) - WINDOW_CHARS // 2), WINDOW_CHARS // 2):
-                if plain := plain_window(part[a : a + WINDOW_CHARS]):
-                    out.append(plain)
+            if len(part) <= WINDOW_CHARS:
+                out.append(part)
+            else:
+                out += [part[a : a + WINDOW_CHARS] for a in range(0, len(part) - WINDOW_CHARS // 2, WINDOW_CHARS // 2)]
     return out
 
 
+def windows_of(text: str) -> list[str]:
+    """The whole text in plain windows."""
+    return [plain for piece in pieces_of(text) if (plain := plain_window(piece))]
+
+
 def train_dictionary(windows: list[str]) -> bytes:
     """A zstandard dictionary trained on the windows by the library's trainer; the windows themselves where they are too few for it."""
     samples = [w.encode() for w in windows]
@@ -81,20 +87,31 @@ def _measure(dictionary: bytes):
 
 
 def window_scorer(toxic: bytes, ordinary: bytes):
-    """The function from a plain window to its score: by which share it is shorter when compressed with the toxic dictionary as well."""
-    by_toxic, by_ordinary, memo = _measure(toxic), _measure(ordinary), {}
+    """The function from a piece of text to its score and plain window: by which share it is shorter when compressed with the toxic dictionary as well.
 
-    def score(window: str) -> float:
-        s = memo.get(window)
-        if s is None:
+    Sentences recur in many documents; each is scored once.
+    """
+    by_toxic, by_ordinary, memo, pieces = _measure(toxic), _measure(ordinary), {}, {}
+
+    def plain(window: str) -> tuple[float, str]:
+        got = memo.get(window)
+        if got is None:
             raw = window.encode()
             t, o = by_toxic(raw), by_ordinary(raw)
-            # Short windows say little: their lengths are compared against a fixed cost.
-            s = (o - t) / (max(o, t) + 24.0)
             if len(memo) > 200_000:
                 memo.clear()
-            memo[window] = s
-        return s
+            # Short windows say little: their lengths are compared against a fixed cost.
+            memo[window] = got = ((o - t) / (max(o, t) + 24.0), window)
+        return got
+
+    def score(piece: str) -> tuple[float, str]:
+        got = pieces.get(piece)
+        if got is None:
+            if len(pieces) > 200_000:
+                pieces.clear()
+            window = plain_window(piece)
+            pieces[piece] = got = plain(window) if window else (-1.0, "")
+        return got
 
     return score
 
@@ -208,10 +225,8 @@ def _scored(documents: DataFrame, models: list[tuple[bytes, bytes]], which: str
     def score(texts: pd.Series, chosen: pd.Series) -> pd.DataFrame:
         scorers, out = [window_scorer(*m) for m in models], []
         for text, k in zip(texts, chosen):
-            best = (-1.0, None)
-            for w in windows_of(text) if text else ():
-                best = max(best, (scorers[k](w), w), key=lambda x: x[0])
-            out.append(best)
+            best = max(map(scorers[k], pieces_of(text)), default=(-1.0, None)) if text else (-1.0, None)
+            out.append(best if best[1] else (-1.0, None))
         return pd.DataFrame(out, columns=["score", "worst_window"])
 
     udf = F.pandas_udf(score, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("worst_window", T.StringType())])).asNondeterministic()
