@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,8 @@ from placeweave.llm.names import edits
 from placeweave.llm.text import folded
 from placeweave.session import cut, spread
 
-# Countries, quarters and the words of floors, units and halls.
-COUNTRIES = "norwend|ostravia|cordesia|yunmen isles|hinokuni"
-CITY_AND_COUNTRY = "valmarie"
-QUARTERS = "uplands|harbour|riverside|downtown|mill district|old town|market quarter|north end|south end|east side|west side"
+# Words for quarters of a city, and those of floors, units and halls.
+QUARTERS = ("uplands", "harbour", "riverside", "downtown", "mill district", "old town", "market quarter", "north end", "south end", "east side", "west side")
 _UNIT = re.compile(
     r"\b(?:(?:fl|floor|level|suite|unit|room|rm|hall|apt|local|piso|planta|etage|stock|og)\b\.? ?#?(?:\d{1,3}[a-z]?|[a-z])\b|\d{1,2}(?:st|nd|rd|th) (?:fl|floor)\b\.?|\d{1,2} ?[oa°]\.? (?:izq|dcha|der)\b\.?|bajos?\b|(?:ground|first|second|third) floor\b|eg\b|[1-9]f\b|b[12]\b)"
 )
@@ -52,16 +50,44 @@ _UNZH = str.maketrans("国楼宝云岛长红桥义兴湾岭门华兰龙园东乐
 PARSED = T.StructType([T.StructField(n, T.StringType()) for n in ("city", "post", "num", "sect", "kind", "stem", "lang")])
 
 
+def alternation(words: Iterable[str]) -> str:
+    """A pattern for any of the words, the longest first, by their common beginnings, so that a place where none begins is left at once."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for ch in w:
+            at = at.setdefault(ch, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        parts = [re.escape(ch) + pattern(below) for ch, below in sorted(at.items(), reverse=True) if ch]
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)})" + ("?" if "" in at else "") if len(parts) > 1 or "" in at else parts[0]
+
+    return pattern(tree) or "(?!)"
+
+
+class Places:
+    """Names an address is read by: `cities` maps folded names, Latin and local, to one name each; `countries` folded names to the language of their addresses, where that has readings; `readings` characters to Latin letters by language."""
+
+    def __init__(self, cities: dict[str, str], countries: dict[str, str | None], readings: dict[str, dict[str, str]]) -> None:
+        self.cities, self.countries, self.readings = cities, countries, readings
+        #: Names of both a city and its country say little.
+        self.doubtful = sorted(set(cities) & set(countries))
+
+
 class Parser:
-    """Takes an address apart; `cities` maps folded city names, Latin and local, to one name each, `readings` characters to Latin letters by language."""
+    """Takes an address apart."""
 
-    def __init__(self, cities: dict[str, str], readings: dict[str, dict[str, str]]) -> None:
-        latin = [c for c in cities if c.isascii() and c != CITY_AND_COUNTRY]
-        self.cities, self.readings = cities, readings
-        self.latin = re.compile(r"\b(" + "|".join(map(re.escape, sorted(latin, key=len, reverse=True))) + r")(?: city)?\b") if latin else re.compile("(?!)()")
-        local = [c for c in cities if not c.isascii()]
-        self.local = re.compile("(" + "|".join(map(re.escape, sorted(local, key=len, reverse=True))) + ")市?") if local else re.compile("(?!)()")
-        self.noise = re.compile(rf"\b(?:{COUNTRIES}|{QUARTERS})\b")
+    def __init__(self, places: Places) -> None:
+        self.cities, self.readings = places.cities, places.readings
+        latin = [c for c in self.cities if c.isascii() and c not in places.doubtful]
+        self.latin = re.compile(rf"\b({alternation(latin)})(?: city)?\b")
+        self.local = re.compile(f"({alternation(c for c in self.cities if not c.isascii())})市?")
+        self.noise = re.compile(rf"\b(?:{alternation([*places.countries, *QUARTERS])})\b")
+        self.doubtful = re.compile(rf"\b({alternation(places.doubtful)})\b")
+        self.tongues = [(name, lang) for name, lang in places.countries.items() if lang]
 
     def __call__(self, address: str) -> tuple | None:
         s = folded.__wrapped__(address)
@@ -84,7 +110,7 @@ class Parser:
         return "".join(table.get(ch, ch) for ch in text)
 
     def _cjk(self, s: str) -> tuple | None:
-        post = _POST7.search(s)
+        post = _POST7.search(s) if "-" in s else None
         lang = "ja" if post or re.search("丁目|番|区", s) else None
         code = post.group(1) if post else None
         if post:
@@ -107,7 +133,7 @@ class Parser:
 
     def _latin(self, s: str) -> tuple | None:
         code, lang = None, None
-        if m := _POST7.search(s):
+        if "-" in s and (m := _POST7.search(s)):
             code, lang = m.group(1), "ja"
             s = s[: m.start()] + "," + s[m.end() :]
         elif m := _POST5.search(s):
@@ -121,27 +147,26 @@ class Parser:
             if name.group(0).endswith(" city"):
                 lang = "zh"
             s, name = s[: name.start()] + "," + s[name.end() :], self.cities[name.group(1)]
-        else:
-            name = CITY_AND_COUNTRY if CITY_AND_COUNTRY in s else None
-        if "yunmen" in s:
-            lang = "zh"
-        elif "hinokuni" in s or "chome" in s or "-ku" in s:
-            lang = "ja"
-        s = self.noise.sub(",", s.replace(CITY_AND_COUNTRY, ",")) if name or "," in s else self.noise.sub(",", s.replace(CITY_AND_COUNTRY, ","))
-        s = _DISTRICT.sub(",", s)
+        elif m := self.doubtful.search(s):
+            name = self.cities[m.group(1)]
+        said = next((t for n, t in self.tongues if n in s), None)
+        lang = said or ("ja" if "chome" in s or "-ku" in s else lang)
+        s = self.noise.sub(",", self.doubtful.sub(",", s))
+        if "ku" in s or "district" in s:
+            s = _DISTRICT.sub(",", s)
         s = _UNIT.sub(",", s)
         sect = ""
-        if m := _SECTION.search(s):
+        if "sec" in s and (m := _SECTION.search(s)):
             sect, lang = m.group(1), "zh"
             s = s[: m.start()] + "," + s[m.end() :]
-        if m := _THREE.search(s):
+        if "-" in s and (m := _THREE.search(s)):
             num, lang = "-".join(m.groups()), "ja"
             s = s[: m.start()] + "," + s[m.end() :]
         else:
             if lang == "zh" or "號" in s or "号" in s:
                 s = s.replace("號", " ").replace("号", " ")
                 lang = "zh"
-            found = [m for m in _NUMBER.finditer(s)]
+            found = list(_NUMBER.finditer(s))
             if lang == "zh" and len(found) > 1 and code is None:
                 for m in found:
                     if len(m.group(1)) == 3 and not m.group(2) and re.search(r"^[,\s]*$", s[m.end() :]):
@@ -201,26 +226,32 @@ def misspells(typed: str, word: str) -> bool:
     return edits(typed, word, most) <= most
 
 
-def city_names(guide_rows: DataFrame, target_urls: DataFrame) -> dict[str, str]:
-    """Folded names of cities, Latin and local, to one name each: the catalogue's, and those of the guide's city column. A bounded list."""
-    out: dict[str, str] = {}
-    for r in target_urls.select("label", "label_local").where(F.col("label").isNotNull()).distinct().limit(50_000).collect():
-        out[folded(r["label"])] = folded(r["label"])
-        if r["label_local"]:
-            out[folded(r["label_local"])] = folded(r["label"])
-    for r in guide_rows.select("city").where(F.col("city").isNotNull()).groupBy("city").count().where("count > 1").limit(50_000).collect():
-        if (c := folded(r["city"])) and len(c) > 2:
-            out.setdefault(c, c)
-    return out
+def places_of(guide_rows: DataFrame, target_urls: DataFrame, char_readings: DataFrame) -> Places:
+    """The cities of the catalogue and of the guide's own column, the catalogue's countries, and the characters' readings.
 
-
-def char_table(char_readings: DataFrame) -> dict[str, dict[str, str]]:
-    """Readings of characters by language; the table is a fixed one."""
-    out: dict[str, dict[str, str]] = defaultdict(dict)
-    for r in char_readings.limit(50_000).collect():
+    They are lists of names, which grow with the cities of the world and not with the
+    records; of the guide's column those names count that two rows have. A country
+    whose cities' local names read as their Latin ones in a language is of that
+    language.
+    """
+    readings: dict[str, dict[str, str]] = defaultdict(dict)
+    for r in char_readings.orderBy("lang", "char_text", "reading").collect():
         if r["char_text"] and r["reading"]:
-            out[r["lang"]][folded(r["char_text"])] = folded(r["reading"])
-    return out
+            readings[r["lang"]].setdefault(folded(r["char_text"]), folded(r["reading"]))
+    cities: dict[str, str] = {}
+    countries: dict[str, Counter] = defaultdict(Counter)
+    for r in target_urls.select("label", "label_local", "country").where(F.col("label").isNotNull()).distinct().orderBy("label", "label_local", "country").collect():
+        label, local = folded(r["label"]), folded(r["label_local"] or "")
+        cities[label] = label
+        if local:
+            cities[local] = label
+        if r["country"]:
+            read = [lang for lang, table in readings.items() if not local.isascii() and "".join(table.get(ch, ch) for ch in local) == label]
+            countries[folded(r["country"])].update(read)
+    for r in guide_rows.select("city").where(F.col("city").isNotNull()).groupBy("city").count().where("count > 1").select("city").orderBy("city").toLocalIterator():
+        if (c := folded(r["city"])) and len(c) > 2:
+            cities.setdefault(c, c)
+    return Places(cities, {c: max(n, key=lambda x: (n[x], x)) if n else None for c, n in sorted(countries.items())}, dict(readings))
 
 
 def resolved(own: str | None, cities: dict[str, str]) -> str | None:
@@ -229,13 +260,13 @@ def resolved(own: str | None, cities: dict[str, str]) -> str | None:
     return cities.get(plain, plain) or None
 
 
-def parsed_addresses(records: DataFrame, cities: dict[str, str], readings: dict[str, dict[str, str]]) -> DataFrame:
+def parsed_addresses(records: DataFrame, places: Places) -> DataFrame:
     """The records with their address taken apart, the street null where it names no house, and `own`, the city of their own; `address` and `own_city` go."""
 
     def parse(addresses: pa.Array, own: pa.Array) -> pa.Array:
-        parser = Parser(cities, readings)
+        parser = Parser(places)
         nothing = (None,) * len(PARSED)
-        rows = [((parser(a) if a else None) or nothing) + (resolved(o, cities),) for a, o in zip(addresses.to_pylist(), own.to_pylist())]
+        rows = [((parser(a) if a else None) or nothing) + (resolved(o, places.cities),) for a, o in zip(addresses.to_pylist(), own.to_pylist())]
         return text_columns(rows, [*PARSED.names, "own"])
 
     struct = T.StructType([*PARSED.fields, T.StructField("own", T.StringType())])
@@ -251,48 +282,110 @@ def text_columns(rows: list[tuple], names: list[str]) -> pa.Array:
 BROADCAST_ROWS = 100_000
 
 
-def _looked_up(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
+def _looked_up(df: DataFrame, small: DataFrame, key: str | list[str]) -> DataFrame:
     """A left join to a table that is broadcast where its counted size allows it, and shuffled otherwise."""
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key, "left")
 
 
-def _mined(contexts: DataFrame, column: str, lang: bool, stands_for, frequent: dict) -> DataFrame:
-    """Pairs (typed, meant) with the number of contexts that hold both: each context gives a token its likeliest reading in that context."""
+CONTEXT = ["city", "num", "sect"]
+SIGNIFICANT = 2.7  # of the likelihood ratio, twice its logarithm: chance explains one in twenty at most, on one side
+SHARE = 0.5
 
-    def pair(batches):
-        for batch in batches:
-            out = Counter()
-            langs = batch["lang"] if lang else [None] * len(batch)
-            for tokens, lg in zip(batch[column], langs):
-                tokens = list(tokens)
-                for a in tokens:
-                    own, best, top = frequent.get((lg, a) if lang else a, 1), None, 0
-                    for b in tokens:
-                        n = frequent.get((lg, b) if lang else b, 1)
-                        if a != b and n > top and stands_for(a, own, b, n):
-                            best, top = b, n
-                    if best:
-                        out[(lg, a, best)] += 1
-            yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["lang", "typed", "meant", "n"])
 
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in ("lang", "typed", "meant")), T.StructField("n", T.LongType())])
-    return contexts.mapInPandas(pair, schema).groupBy("lang", "typed", "meant").agg(F.sum("n").alias("n"))
+def _edit_near(a: Column, b: Column) -> Column:
+    """Whether the street's name a can be a misspelling of b: one edit in four letters, three at most, neighbours swapped counting as one."""
+    most = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.length(b) / 4).cast("int")))
+    away = F.levenshtein(a, b, 4)
+    letters = lambda x: F.array_sort(F.split(x, ""))
+    return ((away >= 0) & (away <= most)) | ((away >= 0) & (away <= most + 1) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
 
 
-def _stem_stands_for(a: str, own: int, b: str, n: int) -> bool:
-    if 5 * own <= n:
-        # A misspelling, or the last word of a name of two.
-        return misspells(a, b) or 4 <= len(a) < len(b) - 2 and (b.endswith(a) or edits(a, b[-len(a) :], 1) <= 1)
-    return own == n == 1 and a > b and misspells(a, b)
+def _last_word(a: Column, b: Column) -> Column:
+    """Whether a can be the last word of b, a name of two, but for one letter."""
+    tail = F.right(b, F.length(a))
+    return (F.length(a) >= 4) & (F.length(a) < F.length(b) - 2) & (F.levenshtein(a, tail, 1) >= 0)
 
 
-def _kind_stands_for(a: str, own: int, b: str, n: int) -> bool:
-    if b not in BEFORE | AFTER | GLUED or a in BEFORE | AFTER | GLUED:
-        return False
-    return shortens(a, b) or len(a) > 3 and edits(a, b, 2) <= (1 if len(b) < 6 else 2)
+def _ends(stem: str) -> list[Column]:
+    """First, second, last and last but one letter: of a pair worth comparing one at least agrees."""
+    c = F.col(stem)
+    return [F.substring(c, 1, 1), F.substring(c, 2, 1), F.right(c, F.lit(1)), F.substring(c, -2, 1)]
 
 
-def locations(records: DataFrame, cities: dict[str, str], readings: dict[str, dict[str, str]], max_rounds: int = 4) -> DataFrame:
+def _tested(readings: DataFrame, typed: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys`, `typed` and `meant` of rewrites that are significant.
+
+    `readings` give each form in each context, beside which another stands, its
+    likeliest other reading; `typed` the contexts of each form. A form is rewritten to the reading that most of its
+    contexts give, where that takes SHARE of them, and where chance makes so many
+    contexts in common improbable: as many are expected as both forms have contexts
+    in each city, over the city's contexts.
+    """
+    every = typed.select(*CONTEXT).distinct().groupBy("city").agg(F.count("*").alias("every"))
+    in_city = typed.select(*keys, *CONTEXT, "form").distinct().groupBy(*keys, "city", "form").agg(F.count("*").alias("c"))
+    pairs = readings.groupBy(*keys, "form", "meant").agg(F.count("*").alias("k"))
+    best = pairs.groupBy(*keys, "form").agg(F.sum("k").alias("all"), F.max(F.struct("k", "meant")).alias("top")).where(F.col("top.k") >= SHARE * F.col("all"))
+    best = best.select(*keys, "form", F.col("top.meant").alias("meant"), F.col("top.k").alias("k"))
+    mine = best.join(in_city, [*keys, "form"])
+    both = mine.join(in_city.select(*keys, "city", F.col("form").alias("meant"), F.col("c").alias("c2")), [*keys, "city", "meant"]).join(every, "city")
+    chance = both.groupBy(*keys, "form", "meant", "k").agg(F.sum(F.col("c") * F.col("c2") / F.col("every")).alias("e"))
+    ratio = 2 * (F.col("k") * F.log(F.col("k") / F.col("e")) - (F.col("k") - F.col("e")))
+    return chance.where((F.col("k") > F.col("e")) & (ratio >= SIGNIFICANT)).select(*keys, F.col("form").alias("typed"), "meant")
+
+
+def _stem_rewrites(now: DataFrame) -> DataFrame:
+    """Rewrites of streets: of two near spellings at one number of one city, the rarer one may be meant for the other."""
+    typed = now.groupBy(*CONTEXT, F.col("stem").alias("form")).agg(F.sum("n").alias("n"))
+    freq = typed.groupBy("form").agg(F.sum("n").alias("n_form"))
+    beside = _looked_up(typed, freq, "form").select(F.xxhash64(*CONTEXT).alias("spot"), "form", "n_form")
+    side = lambda p: beside.select("spot", F.col("form").alias(f"{p}_form"), F.col("n_form").alias(f"{p}_n"), F.posexplode(F.array(*_ends("form"))).alias("at", "letter")).select(F.xxhash64("spot", "at", "letter").alias("block"), "at", F.col("spot").alias(f"{p}_spot"), f"{p}_form", f"{p}_n")
+    pairs = side("a").join(side("b").drop("at"), "block").where("a_spot = b_spot")
+    a, b, n, m = (F.col(c) for c in ("a_form", "b_form", "a_n", "b_n"))
+    ordered = (a != b) & ((m > n) | ((m == n) & (b < a)))
+    near = (F.abs(F.length(a) - F.length(b)) < 4) & _edit_near(a, b)
+    first = None
+    for i, (x, y) in reversed(list(enumerate(zip(_ends("a_form"), _ends("b_form"))))):
+        first = F.when(x == y, i) if first is None else F.when(x == y, i).otherwise(first)
+    pairs = pairs.where(ordered).where(near | ((m >= 5 * n) & _last_word(a, b))).where(F.col("at") == first)
+    readings = pairs.groupBy("a_spot", a.alias("form")).agg(F.max_by("b_form", F.struct("b_n", "b_form")).alias("meant"))
+    return _tested(readings, typed, [])
+
+
+def _short_for(a: Column, b: Column) -> Column:
+    """Whether a can be a short form of b, its first letter and others of it in order, or a misspelling."""
+    letters = F.regexp_replace(F.regexp_replace(a, "[^a-z]", ""), "(.)", "$1.*")
+    short = (F.length(a) < F.length(b)) & (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & F.regexp_like(b, F.concat(F.lit("^"), letters))
+    return short | ((F.length(a) > 3) & (F.levenshtein(a, b, 2) >= 0) & (F.levenshtein(a, b, 2) <= F.when(F.length(b) < 6, 1).otherwise(2)))
+
+
+def _kind_rewrites(now: DataFrame) -> DataFrame:
+    """Rewrites of kinds of street by language: of a short and a full form at one number of one street the short one may be meant for the other."""
+    full = F.col("kind").isin(*sorted(BEFORE | AFTER | GLUED))
+    typed = now.where("kind is not null").groupBy(*CONTEXT, "stem", "lang", F.col("kind").alias("form")).agg(F.sum("n").alias("n"), F.first(full).alias("full"))
+    spot = [*CONTEXT, "stem", "lang"]
+    short = typed.where("not full").select(*spot, "form")
+    freq = typed.where("full").groupBy("lang", F.col("form").alias("meant")).agg(F.sum("n").alias("n"))
+    meant = typed.where("full").select(*spot, F.col("form").alias("meant")).join(F.broadcast(freq), ["lang", "meant"])  # one row for each language and full form
+    readings = short.join(meant, spot).where(_short_for(F.col("form"), F.col("meant"))).groupBy(*spot, "form").agg(F.max_by("meant", F.struct("n", "meant")).alias("meant"))
+    return _tested(readings, typed, ["lang"])
+
+
+def _composed(so_far: DataFrame | None, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """The rewrites so far followed by the fresh ones."""
+    if so_far is None:
+        return fresh
+    then = fresh.select(*keys, F.col("typed").alias("meant"), F.col("meant").alias("__then"))
+    on = so_far.join(then, [*keys, "meant"], "left").select(*keys, "typed", F.coalesce("__then", "meant").alias("meant"))
+    return cut(on.unionByName(fresh.join(so_far, [*keys, "typed"], "left_anti").select(*on.columns)))
+
+
+def _applied(df: DataFrame, table: DataFrame | None, keys: list[str], column: str) -> DataFrame:
+    if table is None:
+        return df
+    return _looked_up(df, table.select(*keys, F.col("typed").alias(column), F.col("meant").alias("__to")), [*keys, column]).withColumn(column, F.coalesce("__to", column)).drop("__to")
+
+
+def locations(records: DataFrame, places: Places) -> DataFrame:
     """Adds `city`, `num`, `sect`, `kind` and `stem`, the location an address denotes, in the spelling most agree on.
 
     `records` have `rec`, `address` and `own_city` (may be null). Addresses are taken
@@ -300,19 +393,20 @@ def locations(records: DataFrame, cities: dict[str, str], readings: dict[str, di
     records of that postcode have, else from own_city. Then rewrites are mined:
     records that agree in city, number and section show which spellings of a street
     stand beside each other, those that agree in the street as well which forms of
-    its kind. A pair is kept where it is a possible misspelling or short form and
-    takes half of all contexts of the typed form; the locations are normalised with
-    the pairs kept, and mining goes on until no new rewrite appears, or max_rounds.
+    its kind. A pair is kept where it is a possible misspelling or short form, takes
+    half of the contexts of the typed form, and chance doesn't explain its contexts;
+    the locations are normalised with the pairs kept, and mining goes on until no new
+    rewrite appears. As each rewrite takes a form away, it ends.
 
     Records whose address is missing, empty, or names no house number or street come
     out with null stems; very long ones are read whole; repeated rows stay.
     """
-    return located(cut(parsed_addresses(spread(records), cities, readings)), max_rounds)
+    return located(cut(parsed_addresses(spread(records), places)), places)
 
 
-def located(flat: DataFrame, max_rounds: int = 4) -> DataFrame:
+def located(flat: DataFrame, places: Places) -> DataFrame:
     """`locations` of addresses already taken apart, whatever other columns there are."""
-    doubtful = F.col("city") == CITY_AND_COUNTRY
+    doubtful = F.col("city").isin(*places.doubtful) if places.doubtful else F.lit(False)
     votes = flat.where(F.col("post").isNotNull()).select("post", F.coalesce(F.when(~doubtful, F.col("city")), "own").alias("voted")).where(F.col("voted").isNotNull())
     of_post = votes.groupBy("post", "voted").count().groupBy("post").agg(F.max_by("voted", F.struct("count", "voted")).alias("of_post"))
     flat = _looked_up(flat, cut(of_post), "post")
@@ -326,57 +420,26 @@ def located(flat: DataFrame, max_rounds: int = 4) -> DataFrame:
     # The language of a city's streets is that most of its addresses show.
     shown = seen.where("lang <> 'ro'").groupBy("city", "lang").agg(F.sum("n").alias("n")).groupBy("city").agg(F.max_by("lang", F.struct("n", "lang")).alias("shown"))
     shown = cut(shown)
-    seen = _looked_up(seen, shown, "city").withColumn("lang", F.coalesce("shown", "lang")).drop("shown")
+    now = _looked_up(seen, shown, "city").withColumn("lang", F.coalesce("shown", "lang")).drop("shown")
     flat = _looked_up(flat, shown, "city").withColumn("lang", F.coalesce("shown", "lang")).drop("shown")
-    stems: dict[str, str] = {}
-    kinds: dict[tuple[str, str], str] = {}
-    for _ in range(max_rounds):
-        now = _rewritten(seen, stems, kinds)
-        freq = {r["stem"]: r["n"] for r in now.groupBy("stem").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "stem").limit(200_000).collect()}
-        of_stem = _mined(now.groupBy("city", "num", "sect").agg(F.collect_set("stem").alias("stem")).where(F.size("stem") > 1), "stem", False, _stem_stands_for, freq)
-        kind_freq: dict = {}
-        of_kind = _mined(now.where("kind is not null").groupBy("lang", "city", "num", "sect", "stem").agg(F.collect_set("kind").alias("kind")).where(F.size("kind") > 1), "kind", True, _kind_stands_for, kind_freq)
-        new_stems = _significant(of_stem)
-        new_kinds = _significant(of_kind)
-        fresh = {k[1]: v for k, v in new_stems.items() if stems.get(k[1]) != v}
-        fresh_kinds = {k: v for k, v in new_kinds.items() if kinds.get(k) != v}
-        stems = {a: fresh.get(b, b) for a, b in stems.items()} | fresh
-        kinds |= fresh_kinds
-        if not fresh and not fresh_kinds:
+    stems = kinds = None
+    while True:
+        fresh = cut(_stem_rewrites(now))
+        fresh_kinds = cut(_kind_rewrites(now))
+        more, more_kinds = not fresh.isEmpty(), not fresh_kinds.isEmpty()
+        if more:
+            stems, now = _composed(stems, fresh, []), _applied(now, fresh, [], "stem")
+        if more_kinds:
+            kinds, now = _composed(kinds, fresh_kinds, ["lang"]), _applied(now, fresh_kinds, ["lang"], "kind")
+        if not more and not more_kinds:
             break
-    out = _rewritten(flat, stems, kinds)
+        now = cut(now.groupBy(*typed).agg(F.sum("n").alias("n")))
+    out = _applied(_applied(flat, stems, [], "stem"), kinds, ["lang"], "kind")
     # A short form that no rewrite explains says nothing about the kind.
     kind = F.when(F.col("kind").isin(*sorted(BEFORE | AFTER | GLUED)), F.col("kind"))
     return out.select(*rest, "city", "num", "sect", kind.alias("kind"), "stem")
 
 
-def _significant(pairs: DataFrame, share: float = 0.5) -> dict[tuple, str]:
-    """(language, typed) to meant, for pairs that take `share` of the typed form's contexts with any reading; rewrites of rewrites are followed."""
-    best = pairs.groupBy("lang", "typed").agg(F.sum("n").alias("all"), F.max(F.struct("n", "meant")).alias("top")).where(F.col("top.n") >= share * F.col("all"))
-    table = {(r["lang"], r["typed"]): r["top"]["meant"] for r in best.toLocalIterator()}
-    out = {}
-    for (lang, a), b in table.items():
-        seen = {a}
-        while (lang, b) in table and b not in seen:
-            seen.add(b)
-            b = table[(lang, b)]
-        if a != b:
-            out[(lang, a)] = b
-    return out
-
-
-def _rewritten(df: DataFrame, stems: dict[str, str], kinds: dict[tuple[str, str], str]) -> DataFrame:
-    """The rows with their street and its kind as the rewrites have them; the tables are joined, so that they may be of any size."""
-    spark = df.sparkSession
-    if stems:
-        table = spark.createDataFrame(pd.DataFrame({"stem": list(stems), "__to": list(stems.values())}), "stem string, __to string")
-        df = df.join(F.broadcast(table) if len(stems) <= BROADCAST_ROWS else table, "stem", "left").withColumn("stem", F.coalesce("__to", "stem")).drop("__to")
-    if kinds:
-        table = spark.createDataFrame([(k[0], k[1], v) for k, v in kinds.items()], "lang string, kind string, __to string")
-        df = df.join(F.broadcast(table), ["lang", "kind"], "left").withColumn("kind", F.coalesce("__to", "kind")).drop("__to")
-    return df
-
-
 def guide_and_candidates(guide_rows: DataFrame, place_candidates: DataFrame) -> DataFrame:
     """Both tables as `rec`, `is_guide`, `address`, `own_city`."""
     return guide_rows.select(F.col("row_id").alias("rec"), F.lit(True).alias("is_guide"), "address", F.col("city").alias("own_city")).unionByName(
@@ -392,7 +455,7 @@ def same_location(guide_rows: DataFrame, place_candidates: DataFrame, target_url
     it. Null, empty and thin addresses are at no location; rows with equal ids give
     one pair; an empty table gives none.
     """
-    placed = locations(guide_and_candidates(guide_rows, place_candidates), city_names(guide_rows, target_urls), char_table(char_readings))
+    placed = locations(guide_and_candidates(guide_rows, place_candidates), places_of(guide_rows, target_urls, char_readings))
     placed = placed.where("city is not null and stem is not null and length(stem) > 0")
     key = ["city", "num", "sect", "stem"]
     left = placed.where("is_guide").select(*key, F.col("rec").alias("row_id"), F.col("kind").alias("kind_l"))
