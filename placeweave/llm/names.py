@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from itertools import islice
 from math import ceil, log
 
@@ -98,16 +99,33 @@ def token_similarity(word: str, typed: str, shortened: bool) -> float:
     return 1.0 - d / (len(word) - 0.5) if len(word) > 3 or d == 0 else 0.55
 
 
+def kinds_of(names: Iterable[list[str]]) -> set[tuple[str, ...]]:
+    """Words for kinds of house, as the directory's names show them: what ends several names, alone or behind a word that hardly stands elsewhere."""
+    names = [ts for ts in names if len(ts) > 1]
+    least = max(2, len(names) // 100)
+    last = Counter(ts[-1] for ts in names)
+    pair, inner = Counter(tuple(ts[-2:]) for ts in names if len(ts) > 2), Counter(t for ts in names for t in set(ts[1:]))
+    ends = {(t,) for t, n in last.items() if n >= least}
+    return ends | {p for p, n in pair.items() if p[1:] in ends and n >= least and n >= 0.6 * inner[p[0]]}
+
+
+def split_kind(tokens: list[str], kinds: set[tuple[str, ...]]) -> tuple[list[str], list[str]]:
+    """A name's core, of one word at least, and the kind of house at its end."""
+    for n in (2, 1):
+        if len(tokens) > n and tuple(tokens[-n:]) in kinds:
+            return tokens[:-n], tokens[-n:]
+    return tokens, []
+
+
 class Directory:
     """A block of the directory with its token index."""
 
     def __init__(self, rows: list[tuple], counts: dict[str, int], total: int) -> None:
         names = {r[0]: [t for t, _ in tokens_of(r[1] or "")] for r in rows}
-        last: Counter[str] = Counter(t for ts in names.values() for t in ts[2:])
-        self.kinds = {t for t, n in last.items() if n >= max(2, len(names) // 100)}
+        self.kinds = kinds_of(names.values())
         self.weight = {t: log(1 + total / (1 + counts.get(t, 0))) for ts in names.values() for t in ts}
-        # A name is a core of two words and the kind of house after it.
-        self.houses = {h: (ts[:2], ts[2:]) for h, ts in names.items() if ts}
+        # A name is a core and the kind of house after it.
+        self.houses = {h: split_kind(ts, self.kinds) for h, ts in names.items() if ts}
         self.local: dict[str, list] = defaultdict(list)
         for r in rows:
             if r[2] and r[2].strip():
@@ -116,9 +134,9 @@ class Directory:
         self.joined: dict[str, list] = defaultdict(list)
         self.using: dict[str, list] = defaultdict(list)
         for h, (core, _) in self.houses.items():
-            if len(core) == 2:
-                self.initials[core[0][0] + core[1][0]].append(h)
-                self.joined[core[0] + core[1]].append(h)
+            if len(core) > 1:
+                self.initials["".join(t[0] for t in core)].append(h)
+                self.joined["".join(core)].append(h)
             for t in core:
                 self.using[t].append(h)
         self.core_words = {h: len(set(core)) for h, (core, _) in self.houses.items()}
@@ -238,7 +256,7 @@ class Directory:
                 if len(met) == self.core_words[h] and (s := self.score(h, tokens, noise)) >= 0.72:
                     found[h] = s
             for i, (t, short) in enumerate(tokens):
-                if len(t) == 2 and short:
+                if short and t in self.initials:
                     for h in self.initials.get(t, ()):
                         core, kind = self.houses[h]
                         rest = tokens[:i] + tokens[i + 1 :]
@@ -278,7 +296,8 @@ def linked_names(records: DataFrame, directory: DataFrame, places: DataFrame, tr
     spark = records.sparkSession
     id_type, house_type = records.schema["rec_id"].dataType, directory.schema["house_id"].dataType
     schema = T.StructType([T.StructField("rec_id", id_type), T.StructField("house_id", house_type), T.StructField("score", T.DoubleType())])
-    words = lambda df: {t for r in df.distinct().limit(100_000).toLocalIterator() if r[0] for t, _ in tokens_of(r[0])}
+    # Lists of cities and of cuisines, which don't grow with the records.
+    words = lambda df: {t for r in df.distinct().toLocalIterator() if r[0] for t, _ in tokens_of(r[0])}
     place_words, trade_words = words(places), words(trades)
     out = spark.createDataFrame([], schema)
     houses = directory.select("house_id", "house_name", "house_name_local").dropDuplicates(["house_id"]).toLocalIterator()
