@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,7 @@ _UNIT = re.compile(
 BEFORE = frozenset({"rue", "avenue", "boulevard", "place", "quai", "impasse", "calle", "avenida", "plaza", "paseo", "camino"})
 AFTER = frozenset({"street", "road", "lane", "avenue", "boulevard", "square", "terrace"})
 GLUED = {"strasse", "gasse", "weg", "allee", "platz"}
+FULL_KINDS = BEFORE | AFTER | GLUED
 _GLUED = re.compile(r"(?<=[a-z]{3})(strasse|gasse|allee|platz|weg)$|(?<=[a-z]{3})(str|g|w|al|pl)\.$|(?<=[a-z]{3})(str|al)$")
 PARTICLES = {"de", "la", "las", "los", "le", "les", "des", "du", "del", "d", "l", "the", "of", "y"}
 _PARTICLES = re.compile(r"\b(?:de|la|las|los|le|les|des|du|del) (?=[a-z])")
@@ -287,102 +288,133 @@ def _looked_up(df: DataFrame, small: DataFrame, key: str | list[str]) -> DataFra
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key, "left")
 
 
-CONTEXT = ["city", "num", "sect"]
 SIGNIFICANT = 2.7  # of the likelihood ratio, twice its logarithm: chance explains one in twenty at most, on one side
 SHARE = 0.5
+STREET = "street"
 
 
-def _edit_near(a: Column, b: Column) -> Column:
-    """Whether the street's name a can be a misspelling of b: one edit in four letters, three at most, neighbours swapped counting as one."""
-    most = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.length(b) / 4).cast("int")))
-    away = F.levenshtein(a, b, 4)
-    letters = lambda x: F.array_sort(F.split(x, ""))
-    return ((away >= 0) & (away <= most)) | ((away >= 0) & (away <= most + 1) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
-
-
-def _last_word(a: Column, b: Column) -> Column:
+def _last_word(a: str, b: str) -> bool:
     """Whether a can be the last word of b, a name of two, but for one letter."""
-    tail = F.right(b, F.length(a))
-    return (F.length(a) >= 4) & (F.length(a) < F.length(b) - 2) & (F.levenshtein(a, tail, 1) >= 0)
+    return 4 <= len(a) < len(b) - 2 and edits(a, b[-len(a) :], 1) <= 1
 
 
-def _ends(stem: str) -> list[Column]:
-    """First, second, last and last but one letter: of a pair worth comparing one at least agrees."""
-    c = F.col(stem)
-    return [F.substring(c, 1, 1), F.substring(c, 2, 1), F.right(c, F.lit(1)), F.substring(c, -2, 1)]
-
+def _kind_stands_for(a: str, b: str) -> bool:
+    """Whether a can be a short form of a kind of street in full, its first letter and others of it in order, or a misspelling."""
+    if b not in FULL_KINDS or a in FULL_KINDS:
+        return False
+    return shortens(a, b) or len(a) > 3 and edits(a, b, 2) <= (1 if len(b) < 6 else 2)
 
-def _tested(readings: DataFrame, typed: DataFrame, keys: list[str]) -> DataFrame:
-    """`keys`, `typed` and `meant` of rewrites that are significant.
 
-    `readings` give each form in each context, beside which another stands, its
-    likeliest other reading; `typed` the contexts of each form. A form is rewritten to the reading that most of its
-    contexts give, where that takes SHARE of them, and where chance makes so many
-    contexts in common improbable: as many are expected as both forms have contexts
-    in each city, over the city's contexts.
+def _ends(form: str) -> tuple[str, ...]:
+    """First, second, last and last but one letter: of a pair worth comparing one at least agrees."""
+    return f"0{form[:1]}", f"1{form[1:2]}", f"2{form[-1:]}", f"3{form[-2:-1]}"
+
+
+class _Readings:
+    """The likeliest reading of each form by the others of its context."""
+
+    def __init__(self) -> None:
+        self.memo: dict[tuple, bool] = {}
+
+    def near(self, tag: str, a: str, b: str) -> bool:
+        key = (tag == STREET, a, b)
+        got = self.memo.get(key)
+        if got is None:
+            if len(self.memo) > 500_000:
+                self.memo.clear()
+            self.memo[key] = got = misspells(a, b) if tag == STREET else _kind_stands_for(a, b)
+        return got
+
+    def of(self, tag: str, forms: list[tuple[str, int]]) -> list[tuple[str, str]]:
+        """(form, its reading) of forms with their numbers, the rarer one read as the more frequent."""
+        forms = sorted(forms, key=lambda x: (-x[1], x[0]))
+        place, by_end, out = {f: i for i, (f, _) in enumerate(forms)}, defaultdict(list), []
+        for f, n in forms:
+            # The more frequent forms that share an end with it, the most frequent first.
+            for g in sorted({g for e in _ends(f) for g in by_end[e]}, key=place.__getitem__):
+                if self.near(tag, f, g) or tag == STREET and 5 * n <= forms[place[g]][1] and _last_word(f, g):
+                    out.append((f, g))
+                    break
+            for e in _ends(f):
+                by_end[e].append(f)
+        return out
+
+
+def _read(batches):
+    """Rows (context, tag, form, n), those of a context together, to counts of (tag, form, reading)."""
+    readings, counts = _Readings(), Counter()
+    at, tag, forms = None, "", []
+
+    def close() -> None:
+        if len(forms) > 1:
+            for f, g in readings.of(tag, forms):
+                counts[tag, f, g] += 1
+
+    for batch in batches:
+        for context, t, form, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if context != at:
+                close()
+                at, tag, forms = context, t, []
+            forms.append((form, n))
+        if len(counts) > 200_000:
+            yield _counted(counts)
+            counts.clear()
+    close()
+    yield _counted(counts)
+
+
+def _counted(counts: Counter) -> pa.RecordBatch:
+    columns = list(zip(*((*k, n) for k, n in counts.items()))) or [()] * 4
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["tag", "typed", "meant", "k"])
+
+
+def _rewrites(now: DataFrame) -> DataFrame:
+    """`tag`, `typed` and `meant` of rewrites that are significant, of streets and, by language, of kinds of street.
+
+    Spellings of a street stand beside each other at one number and section of a
+    city, forms of its kind at one number of the street. There each form is given its
+    likeliest reading, the most frequent of the others that it may stand for. It is
+    rewritten to the reading that most of its contexts give, where that takes SHARE
+    of those that give any, and where chance makes so many contexts in common
+    improbable: as many are expected as both forms have contexts in each city, over
+    the city's contexts.
     """
-    every = typed.select(*CONTEXT).distinct().groupBy("city").agg(F.count("*").alias("every"))
-    in_city = typed.select(*keys, *CONTEXT, "form").distinct().groupBy(*keys, "city", "form").agg(F.count("*").alias("c"))
-    pairs = readings.groupBy(*keys, "form", "meant").agg(F.count("*").alias("k"))
-    best = pairs.groupBy(*keys, "form").agg(F.sum("k").alias("all"), F.max(F.struct("k", "meant")).alias("top")).where(F.col("top.k") >= SHARE * F.col("all"))
-    best = best.select(*keys, "form", F.col("top.meant").alias("meant"), F.col("top.k").alias("k"))
-    mine = best.join(in_city, [*keys, "form"])
-    both = mine.join(in_city.select(*keys, "city", F.col("form").alias("meant"), F.col("c").alias("c2")), [*keys, "city", "meant"]).join(every, "city")
-    chance = both.groupBy(*keys, "form", "meant", "k").agg(F.sum(F.col("c") * F.col("c2") / F.col("every")).alias("e"))
+    spot = F.xxhash64("city", "num", "sect")
+    street = F.struct(F.lit(STREET).alias("tag"), spot.alias("context"), F.col("stem").alias("form"))
+    kind = F.struct(F.col("lang").alias("tag"), F.xxhash64("city", "num", "sect", "stem", "lang").alias("context"), F.col("kind").alias("form"))
+    tokens = now.select("city", "n", F.explode(F.array(street, kind)).alias("t")).select("city", "t.*", "n").where("form is not null")
+    tokens = cut(tokens.repartition("context").groupBy("context", "city", "tag", "form").agg(F.sum("n").alias("n")))
+    in_city = cut(tokens.groupBy("tag", "city", "form").agg(F.count("*").alias("c"), F.sum("n").alias("n")))
+    every = tokens.groupBy("tag", "city").agg(F.count_distinct("context").alias("every"))
+    freq = in_city.groupBy("tag", "form").agg(F.sum("n").alias("n"))
+    rows = _looked_up(tokens.drop("n", "city"), freq, ["tag", "form"]).select("context", "tag", "form", "n")
+    schema = "tag string, typed string, meant string, k long"
+    pairs = rows.repartition("context").sortWithinPartitions("context").mapInArrow(_read, schema).groupBy("tag", "typed", "meant").agg(F.sum("k").alias("k"))
+    best = pairs.groupBy("tag", "typed").agg(F.sum("k").alias("all"), F.max(F.struct("k", "meant")).alias("top")).where(F.col("top.k") >= SHARE * F.col("all"))
+    best = best.select("tag", "typed", F.col("top.meant").alias("meant"), F.col("top.k").alias("k"))
+    mine = best.join(in_city.select("tag", F.col("form").alias("typed"), "city", "c"), ["tag", "typed"])
+    both = mine.join(in_city.select("tag", "city", F.col("form").alias("meant"), F.col("c").alias("c2")), ["tag", "city", "meant"]).join(every, ["tag", "city"])
+    chance = both.groupBy("tag", "typed", "meant", "k").agg(F.sum(F.col("c") * F.col("c2") / F.col("every")).alias("e"))
     ratio = 2 * (F.col("k") * F.log(F.col("k") / F.col("e")) - (F.col("k") - F.col("e")))
-    return chance.where((F.col("k") > F.col("e")) & (ratio >= SIGNIFICANT)).select(*keys, F.col("form").alias("typed"), "meant")
-
-
-def _stem_rewrites(now: DataFrame) -> DataFrame:
-    """Rewrites of streets: of two near spellings at one number of one city, the rarer one may be meant for the other."""
-    typed = now.groupBy(*CONTEXT, F.col("stem").alias("form")).agg(F.sum("n").alias("n"))
-    freq = typed.groupBy("form").agg(F.sum("n").alias("n_form"))
-    beside = _looked_up(typed, freq, "form").select(F.xxhash64(*CONTEXT).alias("spot"), "form", "n_form")
-    side = lambda p: beside.select("spot", F.col("form").alias(f"{p}_form"), F.col("n_form").alias(f"{p}_n"), F.posexplode(F.array(*_ends("form"))).alias("at", "letter")).select(F.xxhash64("spot", "at", "letter").alias("block"), "at", F.col("spot").alias(f"{p}_spot"), f"{p}_form", f"{p}_n")
-    pairs = side("a").join(side("b").drop("at"), "block").where("a_spot = b_spot")
-    a, b, n, m = (F.col(c) for c in ("a_form", "b_form", "a_n", "b_n"))
-    ordered = (a != b) & ((m > n) | ((m == n) & (b < a)))
-    near = (F.abs(F.length(a) - F.length(b)) < 4) & _edit_near(a, b)
-    first = None
-    for i, (x, y) in reversed(list(enumerate(zip(_ends("a_form"), _ends("b_form"))))):
-        first = F.when(x == y, i) if first is None else F.when(x == y, i).otherwise(first)
-    pairs = pairs.where(ordered).where(near | ((m >= 5 * n) & _last_word(a, b))).where(F.col("at") == first)
-    readings = pairs.groupBy("a_spot", a.alias("form")).agg(F.max_by("b_form", F.struct("b_n", "b_form")).alias("meant"))
-    return _tested(readings, typed, [])
-
-
-def _short_for(a: Column, b: Column) -> Column:
-    """Whether a can be a short form of b, its first letter and others of it in order, or a misspelling."""
-    letters = F.regexp_replace(F.regexp_replace(a, "[^a-z]", ""), "(.)", "$1.*")
-    short = (F.length(a) < F.length(b)) & (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & F.regexp_like(b, F.concat(F.lit("^"), letters))
-    return short | ((F.length(a) > 3) & (F.levenshtein(a, b, 2) >= 0) & (F.levenshtein(a, b, 2) <= F.when(F.length(b) < 6, 1).otherwise(2)))
-
-
-def _kind_rewrites(now: DataFrame) -> DataFrame:
-    """Rewrites of kinds of street by language: of a short and a full form at one number of one street the short one may be meant for the other."""
-    full = F.col("kind").isin(*sorted(BEFORE | AFTER | GLUED))
-    typed = now.where("kind is not null").groupBy(*CONTEXT, "stem", "lang", F.col("kind").alias("form")).agg(F.sum("n").alias("n"), F.first(full).alias("full"))
-    spot = [*CONTEXT, "stem", "lang"]
-    short = typed.where("not full").select(*spot, "form")
-    freq = typed.where("full").groupBy("lang", F.col("form").alias("meant")).agg(F.sum("n").alias("n"))
-    meant = typed.where("full").select(*spot, F.col("form").alias("meant")).join(F.broadcast(freq), ["lang", "meant"])  # one row for each language and full form
-    readings = short.join(meant, spot).where(_short_for(F.col("form"), F.col("meant"))).groupBy(*spot, "form").agg(F.max_by("meant", F.struct("n", "meant")).alias("meant"))
-    return _tested(readings, typed, ["lang"])
-
-
-def _composed(so_far: DataFrame | None, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    return chance.where((F.col("k") > F.col("e")) & (ratio >= SIGNIFICANT)).select("tag", "typed", "meant")
+
+
+def _composed(so_far: DataFrame | None, fresh: DataFrame) -> DataFrame:
     """The rewrites so far followed by the fresh ones."""
     if so_far is None:
         return fresh
-    then = fresh.select(*keys, F.col("typed").alias("meant"), F.col("meant").alias("__then"))
-    on = so_far.join(then, [*keys, "meant"], "left").select(*keys, "typed", F.coalesce("__then", "meant").alias("meant"))
-    return cut(on.unionByName(fresh.join(so_far, [*keys, "typed"], "left_anti").select(*on.columns)))
+    then = fresh.select("tag", F.col("typed").alias("meant"), F.col("meant").alias("__then"))
+    on = so_far.join(then, ["tag", "meant"], "left").select("tag", "typed", F.coalesce("__then", "meant").alias("meant"))
+    return cut(on.unionByName(fresh.join(so_far, ["tag", "typed"], "left_anti").select(*on.columns)))
 
 
-def _applied(df: DataFrame, table: DataFrame | None, keys: list[str], column: str) -> DataFrame:
+def _applied(df: DataFrame, table: DataFrame | None) -> DataFrame:
     if table is None:
         return df
-    return _looked_up(df, table.select(*keys, F.col("typed").alias(column), F.col("meant").alias("__to")), [*keys, column]).withColumn(column, F.coalesce("__to", column)).drop("__to")
+    stems = table.where(F.col("tag") == STREET).select(F.col("typed").alias("stem"), F.col("meant").alias("__stem"))
+    kinds = table.where(F.col("tag") != STREET).select(F.col("tag").alias("lang"), F.col("typed").alias("kind"), F.col("meant").alias("__kind"))
+    df = _looked_up(_looked_up(df, stems, ["stem"]), kinds, ["lang", "kind"])
+    return df.withColumn("stem", F.coalesce("__stem", "stem")).withColumn("kind", F.coalesce("__kind", "kind")).drop("__stem", "__kind")
 
 
 def locations(records: DataFrame, places: Places) -> DataFrame:
@@ -422,21 +454,12 @@ def located(flat: DataFrame, places: Places) -> DataFrame:
     shown = cut(shown)
     now = _looked_up(seen, shown, "city").withColumn("lang", F.coalesce("shown", "lang")).drop("shown")
     flat = _looked_up(flat, shown, "city").withColumn("lang", F.coalesce("shown", "lang")).drop("shown")
-    stems = kinds = None
-    while True:
-        fresh = cut(_stem_rewrites(now))
-        fresh_kinds = cut(_kind_rewrites(now))
-        more, more_kinds = not fresh.isEmpty(), not fresh_kinds.isEmpty()
-        if more:
-            stems, now = _composed(stems, fresh, []), _applied(now, fresh, [], "stem")
-        if more_kinds:
-            kinds, now = _composed(kinds, fresh_kinds, ["lang"]), _applied(now, fresh_kinds, ["lang"], "kind")
-        if not more and not more_kinds:
-            break
-        now = cut(now.groupBy(*typed).agg(F.sum("n").alias("n")))
-    out = _applied(_applied(flat, stems, [], "stem"), kinds, ["lang"], "kind")
+    table = None
+    while not (fresh := cut(_rewrites(now))).isEmpty():
+        table, now = _composed(table, fresh), cut(_applied(now, fresh).groupBy(*typed).agg(F.sum("n").alias("n")))
+    out = _applied(flat, table)
     # A short form that no rewrite explains says nothing about the kind.
-    kind = F.when(F.col("kind").isin(*sorted(BEFORE | AFTER | GLUED)), F.col("kind"))
+    kind = F.when(F.col("kind").isin(*sorted(FULL_KINDS)), F.col("kind"))
     return out.select(*rest, "city", "num", "sect", kind.alias("kind"), "stem")
 
 
