@@ -30,7 +30,9 @@ _GLUED = re.compile(r"(?<=[a-z]{3})(strasse|gasse|allee|platz|weg)$|(?<=[a-z]{3}
 PARTICLES = {"de", "la", "las", "los", "le", "les", "des", "du", "del", "d", "l", "the", "of", "y"}
 _PARTICLES = re.compile(r"\b(?:de|la|las|los|le|les|des|du|del) (?=[a-z])")
 _MARKS = {"no", "nr", "n", "num", "number"}
-_NUMBER = re.compile(r"(?:\b(?:no|nr|n)\b[.°]? ?|n°|#)? ?\b(\d{1,4})(?: ?([a-z])\b(?![.'/]))?(?! ?(?:st|nd|rd|th)\b)")
+_NUMBER = re.compile(r"\b(\d{1,4})(?: ?([a-z])\b(?![.'/]))?(?! ?(?:st|nd|rd|th)\b)")
+_BEFORE_NUMBER = re.compile(r"(?:\b(?:no|nr|n)\b[.°]? ?|n°|#)? ?$")
+_PARTS = re.compile(r"[,;()]| - ")
 _SECTION = re.compile(r"\b(?:sec|section)\b\.? ?(\d{1,2})\b")
 _THREE = re.compile(r"\b(\d{1,2}) ?-? ?(?:chome)?[- ]{1,2}(\d{1,3}) ?- ?(\d{1,3})\b")
 _POST5 = re.compile(r"\b(?:[a-z]-)?(\d{5})\b")
@@ -179,15 +181,19 @@ class Parser:
                 return None
             m = found[0]
             num = str(int(m.group(1))) + (m.group(2) or "")
-            s = s[: m.start()] + " , " + s[m.end() :]
+            start = _BEFORE_NUMBER.search(s, max(0, m.start() - 8), m.start()).start()
+            s = s[:start] + " , " + s[m.end() :]
         particles = bool(_PARTICLES.search(s))
         romance = "es" if _SPANISH.search(s) else "fr" if _FRENCH.search(s) else "ro"
         best: list[str] = []
-        for part in re.split(r"[,;()]| - ", s.replace("/", " ")):
-            words = [w for w in _WORDS.findall(part.replace("p.o", "po").replace("p.°", "po")) if w.rstrip(".") not in _MARKS]
+        longest = 0
+        for part in _PARTS.split(s.replace("/", " ").replace("p.o", "po").replace("p.°", "po")):
+            if len(part) <= longest:
+                continue
+            words = [w for w in _WORDS.findall(part) if w not in _MARKS and w.rstrip(".") not in _MARKS]
             words = [w for i, w in enumerate(words) if w not in PARTICLES or i and i == len(words) - 1]
-            if sum(map(len, words)) > sum(map(len, best)):
-                best = words
+            if (n := sum(map(len, words))) > longest:
+                best, longest = words, n
         if not best:
             return None
         if lang == "ja":
