@@ -201,3 +201,14 @@ def listing_validity(status: Column, title: Column, body: Column, heading: Colum
         .otherwise("")
     )
     return F.struct((reason == "").alias("ok"), reason.alias("reason"))
+
+
+def running_pages(before: Column, found: Column) -> Column:
+    """The estimate of pages so far: the greater of what was known and what a page shows."""
+    return F.greatest(F.coalesce(before, F.lit(0)), F.coalesce(found, F.lit(0)))
+
+
+def other_region(url: Column | str, region: Column | str) -> Column:
+    """Whether a card leads to another region than the listing's; a card that names none doesn't."""
+    own = region_of(url)
+    return (text(region) != "") & own.isNotNull() & (own != text(region))

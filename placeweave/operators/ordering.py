@@ -48,10 +48,18 @@ def already_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def first_acceptable(pairs: DataFrame, row: list[str], order: list[Column], accepted: Column) -> DataFrame:
-    """Per row the pair that is accepted first in order, with `n_before`, the pairs refused before it; rows without any have a null pair."""
-    w = Window.partitionBy(*row).orderBy(*order)
-    numbered = pairs.withColumn("__n", F.row_number().over(w))
+    """Per row the pair that is accepted first in order, with `n_before`, the pairs refused before it; rows without any have a null pair.
+
+    Two aggregates with partial results, no sort: a row with most of the pairs is
+    no more than one row of either shuffle. `order` must tell the pairs of a row apart.
+    """
     rest = [c for c in pairs.columns if c not in row]
-    return numbered.groupBy(*row).agg(F.min(F.when(accepted, F.struct("__n", *rest))).alias("hit"), F.count("*").alias("n_pairs")).select(
-        *row, *(F.col(f"hit.{c}").alias(c) for c in rest), "n_pairs", F.coalesce(F.col("hit.__n") - 1, F.col("n_pairs")).alias("n_before")
-    )
+    ordered = pairs.withColumn("__o", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))).withColumn("__a", F.coalesce(accepted, F.lit(False)))
+    best = ordered.groupBy(*row).agg(F.min_by(F.when(F.col("__a"), F.struct("__o", *rest)), F.when(F.col("__a"), F.col("__o"))).alias("__hit"), F.count("*").alias("n_pairs"))
+    same = [f"__k{i}" for i in range(len(row))]
+    key = best.where(F.col("__hit").isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(row, same)), F.col("__hit.__o").alias("__first"))
+    on = [ordered[c].eqNullSafe(key[k]) for c, k in zip(row, same)]
+    before = ordered.join(key, on).where(F.col("__o") < F.col("__first")).groupBy(*same).agg(F.count("*").alias("__before"))
+    out = best.join(before, [best[c].eqNullSafe(before[k]) for c, k in zip(row, same)], "left")
+    n = F.when(F.col("__hit").isNull(), F.col("n_pairs")).otherwise(F.coalesce("__before", F.lit(0)))
+    return out.select(*row, *(F.col(f"__hit.{c}").alias(c) for c in rest), "n_pairs", n.alias("n_before"))

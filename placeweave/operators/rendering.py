@@ -84,3 +84,38 @@ def list_name(template: str, prefix: str, scope: Column, bucket: Column, labels:
 def failure_records(failures: DataFrame, columns: list[str]) -> DataFrame:
     """Each failure as one JSON text, null fields left out."""
     return failures.select(F.to_json(F.struct(*columns)).alias("value"))
+
+
+# Fields of a bowl guide, in the order a note has them.
+BOWL_COUNTS = ("總得碗數", "總得晚數")
+BOWL_FIELDS = ("得獎菜色", "菜系", "推薦評審", "地址", "電話")
+
+
+def bowls_note(fields: Column) -> Column:
+    """The bowls a place won, its dish, cuisine, jurors, address and telephone, with bars between; what is missing is left out."""
+    look = lambda k: F.nullif(F.replace(collapse(F.try_element_at(fields, F.lit(k))), F.lit("|"), F.lit("｜")), F.lit(""))
+    return F.concat_ws(" | ", F.concat(F.coalesce(*map(look, BOWL_COUNTS)), F.lit("碗")), *map(look, BOWL_FIELDS))
+
+
+def debug_line(title: str, fields: dict[str, Column]) -> Column:
+    """`Title(name='value', …)`: texts quoted, lists joined, `<none>` for what is missing."""
+    shown = [F.concat(F.lit(f"{n}="), F.coalesce(v, F.lit("<none>"))) for n, v in fields.items()]
+    return F.concat(F.lit(f"{title}("), F.concat_ws(", ", *shown), F.lit(")"))
+
+
+def candidate_line(candidate: str) -> Column:
+    quoted = lambda n: F.concat(F.lit("'"), F.replace(text(F.col(f"{candidate}.{n}")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return debug_line("Candidate", {n: quoted(n) for n in ("name", "address", "category", "subtitle", "located_in")})
+
+
+def assessment_line(evidence: str, assessment: str) -> Column:
+    e = lambda n: F.format_string("%.1f", F.col(f"{evidence}.{n}"))
+    listed = lambda n: F.nullif(F.array_join(F.col(f"{evidence}.{n}"), ", "), F.lit(""))
+    numbers = {n: e(n) for n in ("name", "alias", "address", "city", "house", "category", "ngram")}
+    return debug_line("Signals", {"strength": F.col(f"{assessment}.strength"), "score": F.format_string("%.1f", F.col(f"{assessment}.score")), **numbers, "risks": listed("risks"), "location_overlap": listed("shared_places")})
+
+
+def rejected_record(query: Column, candidate: str, evidence: str, assessment: str) -> Column:
+    """A refused candidate as part of a failure's record: the query, its fields, the decision and what it rests on."""
+    fields = [text(F.col(f"{candidate}.{n}")).alias(n) for n in ("name", "address", "category", "subtitle", "located_in")]
+    return F.struct(query.alias("query"), *fields, F.col(f"{assessment}.strength").alias("strength"), F.round(F.col(f"{assessment}.score"), 1).alias("match_score"), F.col(f"{evidence}.risks").alias("risks"), F.col(f"{evidence}.shared_places").alias("location_overlap"))

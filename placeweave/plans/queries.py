@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placeweave.functions import geo
 from placeweave.functions import text as tx
 from placeweave.operators import evaluation, evidence, extraction, ordering, packed, predicates, redaction, rendering, routing, summary
-from placeweave.session import load, shared_dir
+from placeweave.session import cut, load, shared_dir
 from placeweave.sources import files, kml
 from placeweave.streaming import sync
 
@@ -32,10 +32,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from placeweave.plans import matcher, pages, runs  # noqa: F401 - they register theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -57,7 +60,13 @@ _STATUS = f"""SELECT row_id, bucket, CASE WHEN coalesce(max(CAST(accepted AS INT
   FROM (SELECT row_id, bucket, {_KEY} AS row_key, coalesce(address, '') <> '' AS accepted FROM {_ROUTED})"""
 
 
-def _terms(x: str, terms: tuple[str, ...]) -> str:
+# Fixed values of the SQL twins, written out so that a wrong table on the other side shows.
+_FOOD = "restaurant,cafe,coffee,tea,bar,bistro,bakery,izakaya,sushi,ramen,noodle,congee,food,dim sum,deli,taiwanese,chinese,japanese,餐廳,菜館,料理,食堂,麵,面,熟食,小吃,點心,糕,餅,餃,湯包,豆腐,甜點,甜品".split(",")
+_OTHER = "temple,church,shrine,hotel,parking,park,school,workshop,office,tourist attraction,宗教,寺,廟,停車,飯店,酒店".split(",")
+_COMMERCE = "store,shop,商店,商行".split(",")
+
+
+def _terms(x: str, terms: list[str] | tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(lower(coalesce({x}, '')), '{t}')" for t in terms) + ")"
 
 
@@ -180,7 +189,7 @@ def candidate_top5(spark: SparkSession, d: str) -> DataFrame:
     return ordering.top_k(load(spark, d, "place_candidates"), ["query_text"], [F.col("cand_ord"), F.col("cand_id")], 5).select("query_text", "cand_id", "rank")
 
 
-@query(f"""WITH p AS (SELECT query_text, cand_id, name, {_terms("category", evidence.FOOD_CATEGORIES)} AND {_PART("category")} <> 'add a label' AS ok,
+@query(f"""WITH p AS (SELECT query_text, cand_id, name, {_terms("category", _FOOD)} AND {_PART("category")} <> 'add a label' AS ok,
     row_number() OVER (PARTITION BY query_text ORDER BY cand_ord, cand_id) AS n FROM place_candidates),
   a AS (SELECT query_text, count(*) AS n_pairs, min(n) FILTER (WHERE ok) AS hit FROM p GROUP BY ALL)
   SELECT a.query_text, p.cand_id, a.n_pairs, coalesce(a.hit - 1, a.n_pairs) AS n_before FROM a LEFT JOIN p ON p.query_text IS NOT DISTINCT FROM a.query_text AND p.n = a.hit""")
@@ -199,8 +208,8 @@ def failure_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT query_text, cand_id, score FROM (SELECT query_text, cand_id, score, row_number() OVER (PARTITION BY query_text ORDER BY score DESC, len DESC, cand_id) AS n FROM (
-  SELECT query_text, cand_id, length(coalesce(name, '')) AS len, CASE WHEN regexp_matches(coalesce(name, ''), '[0-9]') THEN -100 ELSE 30 END + CASE WHEN {_terms("category", evidence.FOOD_CATEGORIES)} AND {_PART("category")} <> 'add a label' THEN 20 ELSE 0 END
-  + CASE WHEN contains(coalesce(query_text, ''), coalesce(name, '')) THEN 100 ELSE 0 END + CASE WHEN {_terms("category", evidence.OTHER_CATEGORIES)} THEN -60 ELSE 0 END AS score FROM place_candidates)) WHERE n = 1""")
+  SELECT query_text, cand_id, length(coalesce(name, '')) AS len, CASE WHEN regexp_matches(coalesce(name, ''), '[0-9]') THEN -100 ELSE 30 END + CASE WHEN {_terms("category", _FOOD)} AND {_PART("category")} <> 'add a label' THEN 20 ELSE 0 END
+  + CASE WHEN contains(coalesce(query_text, ''), coalesce(name, '')) THEN 100 ELSE 0 END + CASE WHEN {_terms("category", _OTHER)} THEN -60 ELSE 0 END AS score FROM place_candidates)) WHERE n = 1""")
 def best_rejected(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "place_candidates")
     no = F.lit(False)
@@ -239,10 +248,14 @@ def price_cuisine(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "guide_rows").select("row_id", extraction.price_and_cuisine(footer).alias("f")).select("row_id", "f.price", "f.cuisine")
 
 
-@query(r"""SELECT lang, kind, slug, '/xx/zz/' || array_to_string(list_filter(string_split(coalesce(url, ''), '/'), lambda x: x <> ''), '/') AS path FROM target_urls""")
+@query(r"""SELECT lang, kind, slug, '/xx/zz/' || array_to_string(CASE WHEN p[1] IN ('en', 'https:') THEN p[2:] ELSE p END, '/') AS path, 'tw/zh_TW/' || array_to_string(CASE WHEN q[1] = 'en' AND q[2] IN ('nw', 'os', 'vm') THEN q[3:] WHEN q[1] = 'en' THEN q[2:] WHEN q[1] IN ('nw', 'os', 'vm') THEN q[2:] ELSE q END, '/') AS on_site,
+  'zz/' || array_to_string(q[2:], '/') AS generic FROM (SELECT lang, kind, slug, list_filter(string_split(coalesce(url, ''), '/'), lambda x: x <> '') AS p, string_split('en/' || left(lower(country), 1) || CASE lower(country) WHEN 'norwend' THEN 'w' WHEN 'ostravia' THEN 's' WHEN 'valmarie' THEN 'm' ELSE 'x' END || '/' || slug || '/restaurants', '/') AS q FROM target_urls)""")
 def localized_paths(spark: SparkSession, d: str) -> DataFrame:
-    u = load(spark, d, "target_urls")
-    return u.select("lang", "kind", "slug", routing.localized_url("url", "xx", "zz", ()).alias("path"))
+    """Addresses and English paths of the catalogue's cities in other languages, with and without a known country before them."""
+    code = F.concat(F.substring(F.lower("country"), 1, 1), F.when(F.lower("country") == "norwend", "w").when(F.lower("country") == "ostravia", "s").when(F.lower("country") == "valmarie", "m").otherwise("x"))
+    u = load(spark, d, "target_urls").withColumn("path", F.concat(F.lit("en/"), code, F.lit("/"), F.col("slug"), F.lit("/restaurants")))
+    known = ("nw", "os", "vm")
+    return u.select("lang", "kind", "slug", routing.localized_url("url", "xx", "zz", ("https:",)).alias("url_path"), routing.city_path("path", "zh_CN", known).alias("on_site"), routing.city_path("path", "zz", known).alias("generic")).withColumnRenamed("url_path", "path")
 
 
 _CUT = lambda v: "CASE " + " ".join(f"WHEN contains({v}, '{s}') AND trim(split_part({v}, '{s}', 1)) <> '' THEN trim(split_part({v}, '{s}', 1))" for s in extraction.SPLITTERS) + f" ELSE {v} END"
@@ -256,9 +269,13 @@ def scope_names(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", extraction.scope_name("text").alias("scope"))
 
 
-@query(rf"""SELECT doc_id, {_collapse("regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g')").replace("coalesce(regexp_replace", "replace(replace(replace(replace(replace(replace(regexp_replace").replace("' ', 'g'), '')", "' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')", 1)} AS plain FROM documents""")
+@query(r"""SELECT row_id, trim(regexp_replace(coalesce(name, '') || ' ' || coalesce(cuisine, ''), '[\s\p{Z}]+', ' ', 'g')) AS plain FROM guide_rows WHERE coalesce(name, '') NOT LIKE '%<%' AND coalesce(name, '') NOT LIKE '%>%'""")
 def stripped_html(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", tx.strip_html("text").alias("plain"))
+    """Names written as markup, their signs as entities of several kinds, and read again."""
+    v = F.replace(F.replace(F.replace(tx.text("name"), F.lit("&"), F.lit("&amp;")), F.lit("é"), F.lit("&eacute;")), F.lit("'"), F.lit("&#x27;"))
+    page = F.concat(F.lit("<p class='a'>"), v, F.lit("</p>&nbsp;<br/>"), F.replace(tx.text("cuisine"), F.lit("a"), F.lit("&#97;")))
+    rows = load(spark, d, "guide_rows").where(~tx.text("name").rlike("[<>]"))
+    return rows.select("row_id", tx.strip_html(page).alias("plain"))
 
 
 # ---- text scalars
@@ -292,12 +309,14 @@ def coordinate_queries(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "guide_rows").select("row_id", geo.coordinate_query(F.col("latitude"), F.col("longitude")).alias("q"))
 
 
-_AREAS = ", ".join(f"nullif(regexp_extract(coalesce(address, ''), '{p}', 1), '')" for p in geo._AREA)
+_HAN = r"[\x{4e00}-\x{9fff}]"
+_AREA = rf"""coalesce(nullif(regexp_extract(a, '((?:臺|台)?{_HAN}{{1,4}}[縣市]{_HAN}{{1,4}}[區鎮鄉市])', 1), ''), nullif(regexp_extract(a, '({_HAN}{{1,4}}[區鎮鄉])', 1), ''), regexp_extract(a, '^({_HAN}{{1,4}}市)', 1))"""
 
 
-@query(rf"SELECT row_id, coalesce({_AREAS}, '') AS area FROM guide_rows")
+@query(rf"""SELECT row_id, area, regexp_extract(CASE WHEN area <> '' THEN substr(a, position(area IN a) + length(area)) ELSE a END, '((?:{_HAN}|[0-9]){{1,12}}(?:大道|路|街)(?:[一二三四五六七八九十0-9]+段)?[0-9]+(?:之[0-9]+)?號(?:[0-9]+樓)?)', 1) AS street
+  FROM (SELECT row_id, a, {_AREA} AS area FROM (SELECT row_id, coalesce(address, '') AS a FROM guide_rows))""")
 def area_hints(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "guide_rows").select("row_id", geo.area_hint("address").alias("area"))
+    return load(spark, d, "guide_rows").select("row_id", geo.area_hint("address").alias("area"), geo.street_hint("address").alias("street"))
 
 
 @query()
@@ -322,12 +341,12 @@ def folded_names(spark: SparkSession, d: str) -> DataFrame:
 # ---- predicates and lookups
 
 
-@query(rf"""SELECT cand_id, {_terms("category", evidence.FOOD_CATEGORIES)} AND {_PART("category")} <> 'add a label' AS food, {_terms("category", evidence.OTHER_CATEGORIES)} AS other, {_terms("category", evidence.COMMERCE_CATEGORIES)} AS commerce,
-  regexp_matches(coalesce(query_text, ''), '^\s*[+-]?\d{{1,2}}(\.\d+)?\s*,\s*[+-]?\d{{1,3}}(\.\d+)?\s*$') AS by_point, regexp_matches(coalesce(name, ''), '^\s*([nN][oO]\.?\s*\d|\d{{1,3}}\s*$|\d{{3,}}\s*,|\d+\s*([fF]|[fF][lL][oO][oO][rR]|樓)\s*$)') AS address_like
+@query(rf"""SELECT cand_id, {_terms("category", _FOOD)} AND {_PART("category")} <> 'add a label' AS food, {_terms("category", _OTHER)} AS other, {_terms("category", _COMMERCE)} AS commerce,
+  regexp_matches(coalesce(query_text, ''), '^\s*[+-]?\d{{1,2}}(\.\d+)?\s*,\s*[+-]?\d{{1,3}}(\.\d+)?\s*$') AS by_point, regexp_matches({_PART("name")}, '^(no\.?\s*\d|\d{{1,3}}$|\d{{3,}}\s*,|\d+\s*(f|floor|樓)$)') AS address_like
   FROM place_candidates""")
 def candidate_flags(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "place_candidates")
-    return c.select("cand_id", predicates.food_category("category").alias("food"), predicates.other_category("category").alias("other"), predicates.commerce_category("category").alias("commerce"), tx.text("query_text").rlike(evidence.COORDINATES).alias("by_point"), predicates.address_like("name").alias("address_like"))
+    return c.select("cand_id", predicates.food_category("category").alias("food"), predicates.other_category("category").alias("other"), predicates.commerce_category("category").alias("commerce"), predicates.coordinate_like("query_text").alias("by_point"), predicates.address_like("name").alias("address_like"))
 
 
 _MARKERS = {"nw": ("norwend",), "os": ("ostravia",), "vm": ("valmarie",), "cd": ("cordesia",), "yi": ("yunmen isles",), "hk": ("hinokuni",)}
@@ -364,66 +383,28 @@ def ngram_scores(spark: SparkSession, d: str) -> DataFrame:
     return grams.select("case_id", F.round(tx.dice(F.col("a"), F.col("b")), 6).alias("dice"), F.round(tx.containment(F.col("a"), F.col("b")), 6).alias("contained"))
 
 
-@query()
-def case_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence and decision of each labelled pair."""
-    scored = evidence.assessed(load(spark, d, "matcher_cases"))
-    return scored.select("case_id", "expected", *(F.round(f"evidence.{n}", 4).alias(n) for n in evidence._FIELDS), F.array_join("evidence.risks", ",").alias("risks"), F.round("assessment.score", 4).alias("score"), "assessment.strength", "assessment.accept")
-
-
-@query()
-def case_confusion(spark: SparkSession, d: str) -> DataFrame:
-    """How the production strategy does on the labelled pairs."""
-    scored = evidence.assessed(load(spark, d, "matcher_cases"))
-    return evaluation.confusion(scored.withColumn("config", F.lit("weighted")), ["config"], F.col("assessment.accept"), F.col("expected"))
-
-
 @query()
 def failure_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Each failed row with the candidates its attempts found, assessed, the first accepted one kept."""
-    tries = packed.split_packed(load(spark, d, "target_failures"), ["failure_id"], "attempted_queries").select("failure_id", "item_no", F.col("item_text").alias("query_text"))
-    rows = load(spark, d, "target_failures").select("failure_id", F.struct("matcher_row.name", F.lit("").alias("name_local"), "matcher_row.city", "matcher_row.address", "matcher_row.cuisine").alias("row_rec"))
+    """Each failed row with the candidates its attempts found, assessed, the first accepted one kept.
+
+    A failure whose attempts found nothing has a null candidate and no pairs. Each
+    distinct pair of a row and a candidate is assessed once, however often it comes.
+    """
+    failures = load(spark, d, "target_failures")
+    tries = packed.split_packed(failures, ["failure_id"], "attempted_queries").select("failure_id", "item_no", F.col("item_text").alias("query_text"))
+    rows = failures.select("failure_id", F.struct("matcher_row.name", F.lit("").alias("name_local"), "matcher_row.city", "matcher_row.address", "matcher_row.cuisine").alias("row_rec"))
     cands = load(spark, d, "place_candidates").select("query_text", "cand_ord", "cand_id", F.struct("name", "address", "category", "subtitle", "located_in").alias("cand_rec"))
     top = ordering.top_k(cands, ["query_text"], [F.col("cand_ord"), F.col("cand_id")], 5)
-    # Scoring takes far more time than its bytes suggest: as many tasks as for the join, by row, which the choice below needs anyway.
+    key = F.md5(F.to_json(F.struct("row_rec", "cand_rec"))).alias("pair")
+    met = cut(tries.join(top, "query_text").join(rows, "failure_id").select("failure_id", "item_no", "cand_ord", "cand_id", key, "row_rec", "cand_rec"))
+    # Scoring takes far more time than its bytes suggest: as many tasks as for the join.
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = evidence.assessed(tries.join(top, "query_text").join(rows, "failure_id").repartition(tasks, "failure_id"))
-    found = ordering.first_acceptable(pairs.select("failure_id", "item_no", "cand_ord", "cand_id", "assessment"), ["failure_id"], [F.col("item_no"), F.col("cand_ord"), F.col("cand_id")], F.col("assessment.accept"))
-    return found.select("failure_id", "cand_id", F.round("assessment.score", 4).alias("score"), "n_pairs", "n_before")
-
-
-def _scaled(spark: SparkSession, d: str) -> DataFrame:
-    li = load(spark, d, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("a"), (F.col("l_discount") * 1000).alias("b"), (F.col("l_tax") * 1000).alias("c"), F.when(F.col("l_returnflag") == "R", 20.0).otherwise(0.0).alias("risk"), F.when(F.col("l_linestatus") == "F", 0.0).otherwise(10.0).alias("stop"))
-
-
-_SCALED = "(SELECT l_orderkey, l_linenumber, l_quantity * 2 AS a, l_discount * 1000 AS b, l_tax * 1000 AS c, CASE WHEN l_returnflag = 'R' THEN 20.0 ELSE 0.0 END AS risk, CASE WHEN l_linestatus = 'F' THEN 0.0 ELSE 10.0 END AS stop FROM lineitem)"
-_DECIDED = lambda s, m, t: f"SELECT l_orderkey, l_linenumber, round(s, 4) AS score, CASE WHEN round(s, 6) >= {t} THEN 'strong' WHEN round(s, 6) >= {m} THEN 'medium' ELSE 'weak' END AS strength FROM (SELECT l_orderkey, l_linenumber, greatest(0.0, least(100.0, {s})) AS s FROM {_SCALED})"
-
-
-def _decided(df: DataFrame, score) -> DataFrame:
-    return df.select("l_orderkey", "l_linenumber", score.alias("x")).select("l_orderkey", "l_linenumber", F.round("x.score", 4).alias("score"), "x.strength")
-
-
-@query(_DECIDED("round(0.5 * a + 0.3 * b + 0.2 * c - 0.5 * risk - stop, 6)", 35, 50))
-def weighted_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as pairs whose numbers stand for features, for a decision that SQL can check."""
-    total = F.round(0.5 * F.col("a") + 0.3 * F.col("b") + 0.2 * F.col("c") - 0.5 * F.col("risk") - F.col("stop"), 6)
-    return _decided(_scaled(spark, d), evidence.decision(total, 35.0, 50.0))
-
-
-@query(_DECIDED("round(100.0 / (1.0 + exp(-(-1.0 + 2.0 * a / 100.0 + 1.5 * b / 100.0 - 0.5 * c / 100.0))), 6)", 45, 60))
-def logistic_decisions(spark: SparkSession, d: str) -> DataFrame:
-    df = _scaled(spark, d)
-    x = evidence.logistic_decision([F.col("a"), F.col("b"), F.col("c")], [2.0, 1.5, -0.5], -1.0, 45.0, 60.0)
-    rounded = evidence.decision(F.round(x["score"], 6), 45.0, 60.0)
-    return _decided(df, rounded)
-
-
-@query(_DECIDED("round(0.6 * a + 0.4 * b - 0.5 * risk - stop, 6)", 30, 55))
-def blended_decisions(spark: SparkSession, d: str) -> DataFrame:
-    x = evidence.blended_decision(F.col("a"), 0.6, F.col("b"), F.col("risk"), F.col("stop"), 30.0, 55.0)
-    return _decided(_scaled(spark, d), evidence.decision(F.round(x["score"], 6), 30.0, 55.0))
+    distinct = met.select("pair", "row_rec", "cand_rec").dropDuplicates(["pair"]).repartition(tasks, "pair")
+    decided = evidence.assessed(distinct).select("pair", "assessment.score", "assessment.accept")
+    pairs = cut(met.drop("row_rec", "cand_rec").join(decided, "pair").select("failure_id", "item_no", "cand_ord", "cand_id", "score", "accept"))
+    found = ordering.first_acceptable(pairs, ["failure_id"], [F.col("item_no"), F.col("cand_ord"), F.col("cand_id")], F.col("accept"))
+    every = failures.select("failure_id").distinct().join(found, "failure_id", "left")
+    return every.select("failure_id", "cand_id", F.round("score", 4).alias("score"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.coalesce("n_before", F.lit(0)).alias("n_before"))
 
 
 @query("""SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
@@ -517,11 +498,6 @@ def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", "clean", F.array_join(redaction.markers("clean"), ",").alias("left_over"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(coalesce(text, ''), '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '<redacted-email>', 'g') AS clean FROM documents""")
-def redacted_emails(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", F.regexp_replace(tx.text("text"), *redaction.REWRITES[0]).alias("clean"))
-
-
 @query(rf"""SELECT h.house_id, c.cand_id, CASE WHEN {_PART("h.house_name")} = {_PART("c.name")} THEN 3 ELSE 2 END AS score FROM house_directory h JOIN place_candidates c
   ON {_PART("c.name")} = {_PART("h.house_name")} OR (starts_with({_PART("c.name")}, {_PART("h.house_name")}) AND regexp_matches(substr({_PART("c.name")}, length({_PART("h.house_name")}) + 1), '^[\s·•,，:：|(（]'))""")
 def list_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -529,7 +505,8 @@ def list_matches(spark: SparkSession, d: str) -> DataFrame:
     first = lambda c: F.split(F.lower(tx.collapse(c)), r"[\s·•,，:：|(（]")[0]
     h = load(spark, d, "house_directory").select("house_id", "house_name", first("house_name").alias("w"))
     c = load(spark, d, "place_candidates").select("cand_id", "name", first("name").alias("w"))
-    return c.join(F.broadcast(h), "w").select("house_id", "cand_id", redaction.list_match("house_name", "name").alias("score")).where("score > 0")
+    h = F.broadcast(h) if h.count() <= 100_000 else h
+    return c.join(h, "w").select("house_id", "cand_id", redaction.list_match("house_name", "name").alias("score")).where("score > 0")
 
 
 # ---- sources and streams

@@ -17,8 +17,22 @@ CHECKPOINT = T.StructType(
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON-lines file with `line_no`; blank lines are skipped, a line that is no object or has no name is an error with its number."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    return parsed_rows(lines.withColumn("line_no", F.col("line_no") + 1))
+    return parsed_rows(numbered_lines(spark, path))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a text file, or of a folder's in order of their names, with `line_no` from 1.
+
+    A file is read in splits; lines are counted within each partition and numbered
+    from the counts of those before, so that no task holds a whole file.
+    """
+    lines = spark.read.text(path).withColumn("__id", F.monotonically_increasing_id())
+    part = F.shiftright("__id", 33)
+    sizes = lines.groupBy(part.alias("__part")).count()
+    ahead = sizes.agg(F.sort_array(F.collect_list(F.struct("__part", "count"))).alias("s"))  # one entry per partition
+    before = ahead.select(F.posexplode("s").alias("i", "x"), "s").select(F.col("x.__part").alias("__part"), F.aggregate(F.slice("s", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda acc, y: acc + y["count"]).alias("__before"))
+    numbered = lines.withColumn("__part", part).join(before, "__part")
+    return numbered.select((F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def parsed_rows(lines: DataFrame) -> DataFrame:
@@ -74,7 +88,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("html")).where("html is not null").orderBy("path")
 
 
-def checkpoint_state(documents: DataFrame, column: str, start_url: str) -> DataFrame:
+def checkpoint_state(documents: DataFrame, column: str, start_url: str | Column) -> DataFrame:
     """`state` and `warning` of each checkpoint text: what is wrong with it starts afresh, with the first fault named."""
     s = lambda n: F.col(f"s.{n}")
     parsed = documents.withColumn("s", F.from_json(F.col(column), CHECKPOINT, {"mode": "PERMISSIVE"}))
@@ -88,7 +102,7 @@ def checkpoint_state(documents: DataFrame, column: str, start_url: str) -> DataF
         .when(~whole(s("next_page_number"), 1), "bad page number")
         .when(~whole(s("total_restaurants"), 0), "bad total")
         .when(s("rows_per_level").isNull() | F.exists(F.map_values(s("rows_per_level")), lambda v: v.isNull() | (v < 0)), "bad counts")
-        .when(s("estimated_total_pages").isNotNull() & (s("estimated_total_pages") < s("next_page_number")), "bad estimate")
+        .when(s("estimated_total_pages").isNotNull() & (s("estimated_total_pages") < 1), "bad estimate")
     )
     return parsed.select(*documents.columns, F.when(warning.isNull(), F.col("s")).alias("state"), warning.alias("warning"))
 
