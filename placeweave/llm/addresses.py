@@ -270,8 +270,10 @@ def resolved(own: str | None, cities: dict[str, str]) -> str | None:
 def parsed_addresses(records: DataFrame, places: Places) -> DataFrame:
     """The records with their address taken apart, the street null where it names no house, and `own`, the city of their own; `address` and `own_city` go."""
 
+    tools: list[Parser] = []
+
     def parse(addresses: pa.Array, own: pa.Array) -> pa.Array:
-        parser = Parser(places)
+        parser = tools[0] if tools else tools.append(Parser(places)) or tools[0]  # once a task
         nothing = (None,) * len(PARSED)
         rows = [((parser(a) if a else None) or nothing) + (resolved(o, places.cities),) for a, o in zip(addresses.to_pylist(), own.to_pylist())]
         return text_columns(rows, [*PARSED.names, "own"])
