@@ -41,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     Columnar and compressed, it takes a fraction of a checkpoint's disk, and a later
     reader takes the columns it needs only. Any executor can read it, whichever wrote
-    it. It is deleted when the session's JVM ends.
+    it. It is deleted when the session's JVM ends, or by `freed`.
     """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
@@ -49,7 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.parquet(path.toString())
     fs.deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(path.toString())
+    out = spark.read.schema(df.schema).parquet(path.toString())
+    out._placeweave_table = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes what `cut` wrote for these very DataFrames, on which nothing still to be computed may rest."""
+    for t in tables:
+        if (path := getattr(t, "_placeweave_table", None)) is not None:
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _written(spark: SparkSession, data: bytes, name: str) -> str:

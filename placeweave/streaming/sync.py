@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from placeweave.operators.ordering import first_wins
+from placeweave.operators.ordering import budgeted, first_wins
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -39,11 +39,32 @@ def sync_batch(rows: DataFrame, batch_id: int, out: str, keys: list[str], order:
     return seen.withColumn("status", F.when(F.col("__seen"), "skipped").otherwise(F.col("status"))).select(*names)
 
 
-def start_sync(stream: DataFrame, out: str, checkpoint: str, keys: list[str], order: list, accept: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Runs the stream until what is there is done; each batch is ordered, deduplicated and written once."""
+def start_sync(
+    stream: DataFrame, out: str, checkpoint: str, keys: list[str], order: list, accept: Callable[[DataFrame], DataFrame], budget: tuple[list[str], int] | None = None, on_failures: Callable[[DataFrame, int], None] | None = None
+) -> StreamingQuery:
+    """Runs the stream until what is there is done; each batch is ordered, deduplicated and written once.
+
+    `budget` are the columns of a page and how many of its first rows are accepted at
+    all; the others are skipped. `on_failures` is given the failed rows of each batch
+    as they were written, with its number; a batch done again is given again.
+    """
+
+    def limited(rows: DataFrame) -> DataFrame:
+        if budget is None:
+            return rows
+        return budgeted(rows, budget[0], order, budget[1])
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write_once(sync_batch(batch, batch_id, out, keys, order, accept), batch_id, out)
+        rows = limited(batch)
+        if budget is not None:
+            inside = sync_batch(rows.where("in_budget"), batch_id, out, keys, order, accept)
+            beyond = accept(rows.where("not in_budget")).withColumn("status", F.lit("skipped"))
+            done = inside.unionByName(beyond.select(*inside.columns))
+        else:
+            done = sync_batch(rows, batch_id, out, keys, order, accept)
+        write_once(done, batch_id, out)
+        if on_failures is not None:
+            on_failures(batch.sparkSession.read.schema(done.schema).parquet(f"{out}/batch_id={batch_id}").where("status = 'failed'"), batch_id)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
