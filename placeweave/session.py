@@ -61,6 +61,11 @@ def freed(*tables: DataFrame) -> None:
             path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Has the driver's JVM collect what no plan refers to any longer: Spark then removes the broadcasts of finished steps, on the driver and the executors."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _written(spark: SparkSession, data: bytes, name: str) -> str:
     """Writes `data` to a file of the shared folder, to be deleted when the session's JVM ends; its qualified path."""
     sc = spark.sparkContext
