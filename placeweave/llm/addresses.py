@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from placeweave.llm.names import edits
 from placeweave.llm.text import folded
-from placeweave.session import cut, spread
+from placeweave.session import cut, freed, released, spread
 
 # Words for quarters of a city, and those of floors, units and halls.
 QUARTERS = ("uplands", "harbour", "riverside", "downtown", "mill district", "old town", "market quarter", "north end", "south end", "east side", "west side")
@@ -291,9 +291,9 @@ def text_columns(rows: list[tuple], names: list[str]) -> pa.Array:
 BROADCAST_ROWS = 100_000
 
 
-def _looked_up(df: DataFrame, small: DataFrame, key: str | list[str]) -> DataFrame:
-    """A left join to a table that is broadcast where its counted size allows it, and shuffled otherwise."""
-    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key, "left")
+def _looked_up(df: DataFrame, small: DataFrame, key: str | list[str], rows: int | None = None) -> DataFrame:
+    """A left join to a table that is broadcast where its size allows it, `rows` at most or as counted, and shuffled otherwise."""
+    return df.join(F.broadcast(small) if (small.count() if rows is None else rows) <= BROADCAST_ROWS else small, key, "left")
 
 
 SIGNIFICANT = 2.7  # of the likelihood ratio, twice its logarithm: chance explains one in twenty at most, on one side
@@ -395,7 +395,7 @@ def _rewrites(now: DataFrame) -> DataFrame:
     in_city = cut(tokens.groupBy("tag", "city", "form").agg(F.count("*").alias("c"), F.sum("n").alias("n")))
     every = tokens.groupBy("tag", "city").agg(F.count_distinct("context").alias("every"))
     freq = in_city.groupBy("tag", "form").agg(F.sum("n").alias("n"))
-    rows = _looked_up(tokens.drop("n", "city"), freq, ["tag", "form"]).select("context", "tag", "form", "n")
+    rows = _looked_up(tokens.drop("n", "city"), freq, ["tag", "form"], in_city.count()).select("context", "tag", "form", "n")
     schema = "tag string, typed string, meant string, k long"
     pairs = rows.repartition("context").sortWithinPartitions("context").mapInArrow(_read, schema).groupBy("tag", "typed", "meant").agg(F.sum("k").alias("k"))
     best = pairs.groupBy("tag", "typed").agg(F.sum("k").alias("all"), F.max(F.struct("k", "meant")).alias("top")).where(F.col("top.k") >= SHARE * F.col("all"))
@@ -404,7 +404,9 @@ def _rewrites(now: DataFrame) -> DataFrame:
     both = mine.join(in_city.select("tag", "city", F.col("form").alias("meant"), F.col("c").alias("c2")), ["tag", "city", "meant"]).join(every, ["tag", "city"])
     chance = both.groupBy("tag", "typed", "meant", "k").agg(F.sum(F.col("c") * F.col("c2") / F.col("every")).alias("e"))
     ratio = 2 * (F.col("k") * F.log(F.col("k") / F.col("e")) - (F.col("k") - F.col("e")))
-    return chance.where((F.col("k") > F.col("e")) & (ratio >= SIGNIFICANT)).select("tag", "typed", "meant")
+    out = cut(chance.where((F.col("k") > F.col("e")) & (ratio >= SIGNIFICANT)).select("tag", "typed", "meant"))
+    freed(tokens, in_city)
+    return out
 
 
 def _composed(so_far: DataFrame | None, fresh: DataFrame) -> DataFrame:
@@ -416,12 +418,13 @@ def _composed(so_far: DataFrame | None, fresh: DataFrame) -> DataFrame:
     return cut(on.unionByName(fresh.join(so_far, ["tag", "typed"], "left_anti").select(*on.columns)))
 
 
-def _applied(df: DataFrame, table: DataFrame | None) -> DataFrame:
+def _applied(df: DataFrame, table: DataFrame | None, rows: int | None = None) -> DataFrame:
     if table is None:
         return df
+    rows = table.count() if rows is None else rows
     stems = table.where(F.col("tag") == STREET).select(F.col("typed").alias("stem"), F.col("meant").alias("__stem"))
     kinds = table.where(F.col("tag") != STREET).select(F.col("tag").alias("lang"), F.col("typed").alias("kind"), F.col("meant").alias("__kind"))
-    df = _looked_up(_looked_up(df, stems, ["stem"]), kinds, ["lang", "kind"])
+    df = _looked_up(_looked_up(df, stems, ["stem"], rows), kinds, ["lang", "kind"], rows)
     return df.withColumn("stem", F.coalesce("__stem", "stem")).withColumn("kind", F.coalesce("__kind", "kind")).drop("__stem", "__kind")
 
 
@@ -460,11 +463,16 @@ def located(flat: DataFrame, places: Places) -> DataFrame:
     # The language of a city's streets is that most of its addresses show.
     shown = seen.where("lang <> 'ro'").groupBy("city", "lang").agg(F.sum("n").alias("n")).groupBy("city").agg(F.max_by("lang", F.struct("n", "lang")).alias("shown"))
     shown = cut(shown)
-    now = _looked_up(seen, shown, "city").withColumn("lang", F.coalesce("shown", "lang")).drop("shown")
-    flat = _looked_up(flat, shown, "city").withColumn("lang", F.coalesce("shown", "lang")).drop("shown")
+    n_cities = shown.count()
+    now = _looked_up(seen, shown, "city", n_cities).withColumn("lang", F.coalesce("shown", "lang")).drop("shown")
+    flat = _looked_up(flat, shown, "city", n_cities).withColumn("lang", F.coalesce("shown", "lang")).drop("shown")
     table = None
-    while not (fresh := cut(_rewrites(now))).isEmpty():
-        table, now = _composed(table, fresh), cut(_applied(now, fresh).groupBy(*typed).agg(F.sum("n").alias("n")))
+    while (rows := (fresh := _rewrites(now)).count()) > 0:
+        before, now = now, cut(_applied(now, fresh, rows).groupBy(*typed).agg(F.sum("n").alias("n")))
+        freed(before)
+        table = _composed(table, fresh)
+        released(flat.sparkSession)
+    freed(seen, now)
     out = _applied(flat, table)
     # A short form that no rewrite explains says nothing about the kind.
     kind = F.when(F.col("kind").isin(*sorted(FULL_KINDS)), F.col("kind"))
