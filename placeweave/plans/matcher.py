@@ -258,3 +258,31 @@ def other_trades(spark: SparkSession, d: str) -> DataFrame:
     """Candidates that are no places to eat by their category."""
     c = load(spark, d, "place_candidates").where(predicates.other_category("category"))
     return c.select("cand_id", predicates.any_of("category", predicates.FOOD_CATEGORIES).alias("food"), tx.collapse("subtitle").alias("subtitle"))
+
+
+# ---- names as texts
+
+
+_BRACKETLESS = rf"trim(regexp_replace(coalesce(name, ''), '[\s\p{{Z}}]*[（(][^）)]{{1,24}}[）)][\s\p{{Z}}]*', ' ', 'g'))"
+
+
+@query(f"SELECT cand_id, {_BRACKETLESS} AS plain FROM place_candidates")
+def bracketless_names(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "place_candidates").select("cand_id", tx.without_brackets("name").alias("plain"))
+
+
+@query("SELECT lang, char_text, translate(char_text, 'の囍脚焿敘臺得腿', '的禧腳羹序台德腳') AS plain FROM char_readings")
+def variant_characters(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of names as they are compared."""
+    return load(spark, d, "char_readings").select("lang", "char_text", tx.normalized_name("char_text").alias("plain"))
+
+
+_ALIASES = rf"""(SELECT row_id, v, p, CASE WHEN len(parts) >= 2 THEN array_to_string(parts, ' ') END AS joined, CASE WHEN len(parts) >= 2 AND length(parts[-1]) >= 4 THEN parts[-1] END AS last FROM (SELECT row_id, v, p, list_filter(list_transform(regexp_split_to_array(p, '[\s\p{{Z}}]*[｜|／/×][\s\p{{Z}}]*|[\s\p{{Z}}]+[xX][\s\p{{Z}}]+'), lambda x: trim(x)), lambda x: x <> '') AS parts
+  FROM (SELECT row_id, {_collapse("name")} AS v, {_collapse(_BRACKETLESS)} AS p FROM guide_rows)))"""
+
+
+@query(f"""SELECT row_id, concat_ws(chr(10), CASE WHEN length(p) >= 3 AND p <> v THEN p END, CASE WHEN length(joined) >= 3 AND joined <> v AND NOT (length(p) >= 3 AND p <> v AND lower(joined) = lower(p)) THEN joined END,
+  CASE WHEN length(last) >= 3 AND last <> v AND NOT (length(p) >= 3 AND p <> v AND lower(last) = lower(p)) AND NOT (joined <> v AND lower(last) = lower(joined)) THEN last END) AS aliases FROM {_ALIASES}""")
+def derived_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Names a row can go by beside its own: without brackets, its parts joined, the last of them."""
+    return load(spark, d, "guide_rows").select("row_id", F.array_join(tx.derived_aliases("name"), "\n").alias("aliases"))
