@@ -72,7 +72,13 @@ def prototypes() -> dict[int, str]:
     table = {code: p for code in range(0x80, 0x20000) if (p := prototype(chr(code))) != chr(code)}
     table |= {ord(k): v for k, v in LOOKALIKES.items()}
     table |= {ord(k): v for k, v in ALIKE.items()}
-    return {code: p.translate({ord(k): v for k, v in ALIKE.items()}) if p not in ALIKE.values() else p for code, p in table.items()} | _LINE_UP
+
+    def final(p: str) -> str:
+        while (q := p.translate(table)) != p:
+            p = q
+        return p
+
+    return {code: final(p) for code, p in table.items()} | _LINE_UP
 
 
 @lru_cache(maxsize=1)

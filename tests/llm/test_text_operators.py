@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from placeweave.llm import leakage, lookalikes, tokens, toxicity
+from placeweave.llm import leakage, lookalikes, text, tokens, toxicity
 from placeweave.llm.text import consistent_form, folded, skeleton
 
 VOCABULARY = tokens.VOCABULARY
@@ -55,6 +55,22 @@ def test_lookalikes_in_tables(spark):
     assert lookalikes.deviating_values(df.limit(0)).count() == lookalikes.spelling_groups(df.limit(0)).count() == 0
 
 
+def test_a_group_decides(spark):
+    values = lambda *v: spark.createDataFrame([(i, x, "clash") for i, x in enumerate(v)], "rec_id int, value string, skeleton_ string")
+    found = lambda *v: {r["rec_id"]: r["form"] for r in lookalikes.deviating_values(values(*v)).collect()}
+    # Weak look-alikes alone are a word of their alphabet; beside its plain spelling the word is a disguise.
+    assert found("νικ", None, "", "νικ") == {} and found("νικ", "vik", "νικ", "other") == {0: "vik", 2: "vik"}
+    # Alike within ASCII are two words; full-width punctuation is no disguise.
+    assert found("corner", "comer", "R0om", "ROom", "A／B", "A/B") == {}
+    assert found("Ｃafe 1", "Cafe l") == {0: "Cafe 1"}
+
+
+def test_prototypes_are_final():
+    table = text.prototypes()
+    assert len(table) > 3000 and all(v is None or "".join(table.get(ord(c), c) or "" for c in v) == v for v in table.values())
+    assert skeleton("ꓗ𝐈Ⅷ") == skeleton("KlVlll") and skeleton("modern") == skeleton("rnodern")
+
+
 # ---- tokens
 
 
@@ -222,6 +238,19 @@ def test_all_held_out_scores_count(spark, monkeypatch):
     assert toxicity.train_model(docs(spark, texts), rated).threshold == pytest.approx(0.3)
 
 
+def test_threshold_leans_to_precision():
+    scores = [(0.9, 1.0, 10), (0.8, 1.0, 10), (0.1, 0.0, 100), (0.05, 1.0, 1)]
+    assert toxicity._best(scores) == pytest.approx(0.45) and toxicity._best([]) == 1.0
+    # With hardly any ratings flagging everything is never the best.
+    assert toxicity._best([(0.5, 1.0, 1), (0.2, 0.0, 50), (0.1, 1.0, 1)]) > 0.2
+
+
+def test_reposts_are_no_evidence():
+    rows = [(f"the {w} soup is vile and cold", 3, 0, [7]) for w in WORDS]
+    assert toxicity.telling_shingles(rows, (50, 500)) == set()
+    assert "vile" in toxicity.telling_shingles([(w, n, o, [i]) for i, (w, n, o, _) in enumerate(rows)], (50, 500))
+
+
 def test_windows():
     assert toxicity.plain_window("You f.u.c.k.i.n.g IDIOOOOT") == "you fucking idiot"
     assert toxicity.plain_window("d1ckh3ad and 123") == "dickhead and 9"
