@@ -117,11 +117,15 @@ def test_fuzzy():
         assert fuzzy._common(a, b) == lcs(a, b)
 
 
-def _pair(spark, row, cand):
+def _pairs(spark, row, cand):
     fields = lambda d, keys: tuple(d.get(k) for k in keys)
     a, b = ("name", "name_local", "city", "address", "cuisine"), ("name", "address", "category", "subtitle", "located_in")
     schema = f"row_rec struct<{','.join(k + ':string' for k in a)}>, cand_rec struct<{','.join(k + ':string' for k in b)}>, score double"
-    return evidence.assessed(spark.createDataFrame([(fields(row, a), fields(cand, b), 1.0)], schema)).first()
+    return spark.createDataFrame([(fields(row, a), fields(cand, b), 1.0)], schema)
+
+
+def _pair(spark, row, cand):
+    return evidence.assessed(_pairs(spark, row, cand)).first()
 
 
 def test_matching(spark):
@@ -132,14 +136,35 @@ def test_matching(spark):
     assert not hotel["assessment"]["accept"] and "non_food_category" in hotel["evidence"]["risks"]
     blank = _pair(spark, {"name": None}, {"name": " "})
     assert blank["assessment"]["strength"] == "weak"
-    clash = evidence.compare_names(["林家麵店"], ["林家水餃"])
-    assert clash[1] and clash[0] <= 45
-    assert evidence.compare_names(["La Mole"], ["La Mole Cafe"])[0] >= 92
-    assert evidence.house_agreement("復興路12號", "復興路30號") == (0.0, True) and evidence.house_agreement("12號旁", "30號") == (0.0, False)
+    parts = lambda v: evidence.name_parts(F.lit(v))
+    rung = lambda a, b: one(spark, evidence.ladder(parts(a), parts(b)))
+    assert [rung(*x) for x in (("a b", "a b"), ("a b", "c a b"), ("a b c", "b a"), ("lin", "lin grill"), ("", "x"))] == [100.0, 96.0, 92.0, 88.0, 0.0]
+    assert rung("lin", "lin old stone house") == 0.0 and rung("zaap", "zaaptaipei") == 82.0 and rung("阿爾法餐廳", "新阿爾法餐廳") == 84.0
+    assert one(spark, evidence.foods_clash(parts("林家麵店"), parts("林家水餃"))) and not one(spark, evidence.foods_clash(parts("a"), parts("林家水餃")))
+    assert one(spark, evidence.prefix_conflict(parts("春水飯店"), parts("秋山飯店"))) and not one(spark, evidence.prefix_conflict(parts("春水飯店"), parts("春山飯店")))
+    clash = _pair(spark, {"name": "林家麵店", "address": ""}, {"name": "林家水餃"})["evidence"]
+    assert "food_descriptor_conflict" in clash["risks"] and clash["name"] <= 45
+    house = lambda a, b: (one(spark, evidence.house_score(F.lit(a), F.lit(b))), one(spark, evidence.house_conflict(F.lit(a), F.lit(b))))
+    assert house("復興路12號", "復興路30號") == (0.0, True) and house("12號旁", "30號") == (0.0, False) and house("12之3號", "No. 12-3") == (100.0, False) and house("12-1號", "12-2號") == (70.0, False)
+    cosine = lambda a, b: one(spark, evidence.gram_cosine(F.lit(a), F.lit(b)))
+    assert cosine("abcd", "abcd") == pytest.approx(100.0) and cosine("ab", "ab") == pytest.approx(100.0) and cosine("", "ab") == 0.0 and cosine("abx", "ab") == pytest.approx(100 * 3 / (3 * (1 + 1 + 4) ** 0.5), rel=1e-6)
+    readings = F.create_map(*(F.lit(x) for x in ("松", "song", "雅", "ya")))
+    assert one(spark, evidence.street_readings(F.lit("雁塘市龍燕區松雅路3號"), readings)) == ["songya路", "songya"]
+    met = evidence.with_evidence(spark.createDataFrame([(("x", "", "", "松雅路3號", ""), ("x", "songya road", "", "", ""))], "row_rec struct<name:string,name_local:string,city:string,address:string,cuisine:string>, cand_rec struct<name:string,address:string,category:string,subtitle:string,located_in:string>"), readings=readings)
+    assert met.first()["evidence"]["shared_places"] == ["songya"]
     assert one(spark, evidence.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0)))) == pytest.approx(0.7071, abs=1e-4)
-    yes, no = F.lit(True), F.lit(False)
-    args = dict(coordinate_query=no, coordinate_name=no, city_in_address=yes, has_address=yes, address_name=no, located_in=no, specific_place=yes, food_or_blank=yes, address_only=no, name_match=no, landing=no)
-    assert one(spark, evidence.rescued(F.lit("weak"), **args)) == "medium" and one(spark, evidence.rescued(F.lit("strong"), **args | {"landing": yes})) == "refused" and one(spark, evidence.rescued(F.lit("strong"), **args | {"address_only": yes})) == "weak"
+
+
+def test_policy(spark):
+    row = {"name": "Alpha Inn", "city": "Port", "address": "12 Main Road, Port", "cuisine": "Tea"}
+    settle = lambda cand, query, name="Alpha Inn", lst="My list": evidence.settled(_pairs(spark, row | {"name": name}, cand), F.lit(query), F.lit(lst)).first()["outcome"]
+    same = {"name": "Alpha Inn", "address": "12 Main Road, Port", "category": "Restaurant"}
+    assert settle(same, "Alpha Inn Port") == "strong" and settle(same | {"name": "My  LIST"}, "x") == "refused"
+    other = {"name": "Zzz Qqq", "address": "", "category": ""}
+    assert settle(other, "Alpha Inn") == "weak" and settle(other, "25.1, 121.5") == "medium" and settle(other | {"name": "25.1, 121.5"}, "25.1, 121.5") == "weak"
+    # Another name at the row's very place is worth a look, unless only the address was searched for.
+    place = {"name": "Zzz Qqq", "address": "12 Main Road, Port", "category": "Cafe"}
+    assert settle(place, "Alpha Inn") != "weak" and settle(place, "12 Main Road, Port") == "weak"
 
 
 def test_predicates(spark):
