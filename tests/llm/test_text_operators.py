@@ -229,6 +229,54 @@ def test_toxicity(spark):
     assert toxicity.scored_documents(table, rated.limit(0)).where("flagged").count() == 0
 
 
+def insults(spark, n=960, kinds=24):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(kinds)]
+    texts, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        parts = [rng.choice(GOOD).format(rng.choice(WORDS)) for _ in range(4)] + [f"{words[i // 4 % kinds]} {words[(i // 4 + 1) % kinds]} {rng.choice(WORDS)}"] * bad
+        rng.shuffle(parts)
+        texts.append(". ".join(parts) + ".")
+        labels.append((i, int(bad)))
+    return texts, labels
+
+
+def test_all_windows_train(spark):
+    """Windows beyond one training's block count: the dictionaries of many small blocks know every insult."""
+    texts, labels = insults(spark)
+    rated = spark.createDataFrame([(i, y, "r") for i, y in labels[:640]], "doc_id long, toxic int, rater string")
+    table = docs(spark, texts).select("doc_id", "text")
+    model = toxicity.train_model(table, rated, 40)
+    scored = {r["doc_id"]: r["score"] for r in toxicity._scored(table, [(model.toxic, model.ordinary)]).collect()}
+    found = [scored[i] > 0 and scored[i] >= model.threshold for i, _ in labels]
+    assert sum(f for f, (i, y) in zip(found, labels) if y and i >= 640) >= 0.85 * 80
+    assert sum(f for f, (i, y) in zip(found, labels) if not y and i >= 640) <= 0.05 * 240
+    # One block of all windows is the trainer's own dictionary.
+    one = toxicity._dictionaries(spark.createDataFrame([(0, 1, f"{w} soup, {v} bread".encode(), 1) for w in WORDS for v in WORDS], "model int, toxic int, sample binary, n long"), 1000)
+    drawn = toxicity._drawn([(f"{w} soup, {v} bread".encode(), 1) for w in WORDS for v in WORDS])
+    assert one == {(0, 1): toxicity.train_dictionary(drawn, toxicity.dictionary_size(sum(map(len, drawn))))}
+
+
+def test_telling_shingles_of_a_table(spark):
+    texts, labels = corpus(spark, 480)
+    rows = [(toxicity.windows_of(t), y, i % 97, i % 97 % toxicity.FOLDS) for t, (i, y) in zip(texts, labels)]
+    table = spark.createDataFrame(rows, "windows array<string>, toxic int, group long, fold int")
+    documents, want = [], {}
+    for m in range(toxicity.MODELS):
+        own = [r for r in rows if r[3] != m]
+        documents.append((sum(r[1] for r in own), sum(1 - r[1] for r in own)))
+        counts = {}
+        for windows, y, group, _ in own:
+            for w in windows:
+                c = counts.setdefault(w, [0, 0, set()])
+                c[1 - y] += 1
+                c[2].update([group] if y else [])
+        for g in toxicity.telling_shingles([(w, *c) for w, c in counts.items()], documents[-1]):
+            want[toxicity._print(g)] = want.get(toxicity._print(g), 0) | 1 << m
+    assert len(want) > 10 and toxicity._telling(table, documents) == want
+
+
 def test_all_held_out_scores_count(spark, monkeypatch):
     word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
     texts = [f"dish {word(i)} was {'vile' if i < 100 else 'fine'}" for i in range(3400)]
