@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placeweave.session import cut, freed
+
 
 def first_wins(rows: DataFrame, key: list[str], order: list[Column], accepted: Column) -> DataFrame:
     """Adds `status`: the first accepted row of a key is added, earlier ones failed, later ones skipped.
@@ -63,3 +68,43 @@ def first_acceptable(pairs: DataFrame, row: list[str], order: list[Column], acce
     out = best.join(before, [best[c].eqNullSafe(before[k]) for c, k in zip(row, same)], "left")
     n = F.when(F.col("__hit").isNull(), F.col("n_pairs")).otherwise(F.coalesce("__before", F.lit(0)))
     return out.select(*row, *(F.col(f"__hit.{c}").alias(c) for c in rest), "n_pairs", n.alias("n_before"))
+
+
+def first_listed(asked: DataFrame, entries: DataFrame, row: str, no: str, name: str, order: list[str], accepted: Callable[[DataFrame], DataFrame], first: int = 2, growth: int = 8) -> DataFrame:
+    """Per `row` the entry accepted first of the lists it asks for, with `n_pairs`, all entries of its lists, and `n_before`, those before it; rows without any have a null entry, those without lists don't come out.
+
+    `asked`: row, the list's `no` in the row, its `name`, and what else `accepted`
+    needs; `entries`: the lists' `name`, the columns of `order`, and more. `accepted`
+    gets pairs of both and returns those it accepts, with columns of its own. Lists are gone through whole, by
+    rounds: the `first` entries of each row, then up to `growth` times as many for rows
+    that have none accepted yet, until no row has entries left. So an entry is given
+    to `accepted` only where those well before it were refused, and all are counted.
+    Equal askings count as often as they come; null rows and names ask for nothing.
+    """
+    asked = asked.where(F.col(row).isNotNull()).groupBy(*asked.columns).agg(F.count("*").alias("__times"))
+    rest = [c for c in entries.columns if c != name]
+    listed = entries.join(asked.select(name).distinct(), name, "left_semi")
+    of = Window.partitionBy(name)
+    # Entries that the order leaves open follow by their other columns; none of them is before another.
+    listed = cut(listed.withColumns({"__at": F.row_number().over(of.orderBy(*order, *(c for c in rest if c not in order))), "__below": F.rank().over(of.orderBy(*order)) - 1}))
+    sizes = listed.groupBy(name).agg(F.max("__at").cast("long").alias("__n"))
+    behind = Window.partitionBy(row).orderBy(no, *(c for c in asked.columns if c not in (row, no))).rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.join(sizes, name)
+    asked = cut(asked.withColumns({"__start": F.coalesce(F.sum("__n").over(behind), F.lit(0)), "__before": F.coalesce(F.sum(F.col("__n") * F.col("__times")).over(behind), F.lit(0))}))
+    left, low, high, hits = asked, 0, first, []
+    while True:
+        begin, end = F.greatest(low - F.col("__start"), F.lit(0)) + 1, F.least(high - F.col("__start"), F.col("__n"))
+        met = left.where(begin <= end).withColumn("__at", F.explode(F.sequence(begin.cast("int"), end.cast("int")))).join(listed, [name, "__at"])
+        found = accepted(met)
+        kept = [*rest, *(c for c in found.columns if c not in met.columns)]
+        found = found.groupBy(row).agg(F.min_by(F.struct(*kept, (F.col("__before") + F.col("__times") * F.col("__below")).alias("n_before")), F.col("__start") + F.col("__at")).alias("__hit"))
+        hits.append(cut(found))
+        after = cut(left.where(F.col("__start") + F.col("__n") > high).join(hits[-1], row, "left_anti"))
+        if left is not asked:
+            freed(left)
+        left, low, high = after, high, high * growth
+        if left.isEmpty():
+            break
+    totals = asked.groupBy(row).agg(F.sum(F.col("__n") * F.col("__times")).alias("n_pairs"))
+    out = totals.join(reduce(DataFrame.unionByName, hits), row, "left")
+    return out.select(row, *(F.col(f"__hit.{c}").alias(c) for c in kept), "n_pairs", F.coalesce("__hit.n_before", "n_pairs").alias("n_before"))

@@ -385,24 +385,27 @@ def ngram_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def failure_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Each failed row with the candidates its attempts found, assessed, the first accepted one kept.
+    """Each failed row with the first accepted one of all candidates its attempts found.
 
-    A failure whose attempts found nothing has a null candidate and no pairs. Each
-    distinct pair of a row and a candidate is assessed once, however often it comes.
+    `n_pairs` counts all of them, `n_before` those before it. A failure whose attempts
+    found nothing has a null candidate and no pairs. Candidates are assessed in their
+    order until one is accepted, all of them where none is; each distinct pair of a
+    row and a candidate once a round.
     """
     failures = load(spark, d, "target_failures")
     tries = packed.split_packed(failures, ["failure_id"], "attempted_queries").select("failure_id", "item_no", F.col("item_text").alias("query_text"))
     rows = failures.select("failure_id", F.struct("matcher_row.name", F.lit("").alias("name_local"), "matcher_row.city", "matcher_row.address", "matcher_row.cuisine").alias("row_rec"))
     cands = load(spark, d, "place_candidates").select("query_text", "cand_ord", "cand_id", F.struct("name", "address", "category", "subtitle", "located_in").alias("cand_rec"))
-    top = ordering.top_k(cands, ["query_text"], [F.col("cand_ord"), F.col("cand_id")], 5)
-    key = F.md5(F.to_json(F.struct("row_rec", "cand_rec"))).alias("pair")
-    met = cut(tries.join(top, "query_text").join(rows, "failure_id").select("failure_id", "item_no", "cand_ord", "cand_id", key, "row_rec", "cand_rec"))
     # Scoring takes far more time than its bytes suggest: as many tasks as for the join.
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    distinct = met.select("pair", "row_rec", "cand_rec").dropDuplicates(["pair"]).repartition(tasks, "pair")
-    decided = evidence.assessed(distinct).select("pair", "assessment.score", "assessment.accept")
-    pairs = cut(met.drop("row_rec", "cand_rec").join(decided, "pair").select("failure_id", "item_no", "cand_ord", "cand_id", "score", "accept"))
-    found = ordering.first_acceptable(pairs, ["failure_id"], [F.col("item_no"), F.col("cand_ord"), F.col("cand_id")], F.col("accept"))
+
+    def accepted(met: DataFrame) -> DataFrame:
+        met = cut(met.withColumn("pair", F.md5(F.to_json(F.struct("row_rec", "cand_rec")))))
+        distinct = met.select("pair", "row_rec", "cand_rec").dropDuplicates(["pair"]).repartition(tasks, "pair")
+        decided = cut(evidence.assessed(distinct).select("pair", "assessment.score", "assessment.accept"))
+        return met.join(decided.where("accept").drop("accept"), "pair").drop("pair")
+
+    found = ordering.first_listed(tries.join(rows, "failure_id"), cands, "failure_id", "item_no", "query_text", ["cand_ord", "cand_id"], accepted)
     every = failures.select("failure_id").distinct().join(found, "failure_id", "left")
     return every.select("failure_id", "cand_id", F.round("score", 4).alias("score"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.coalesce("n_before", F.lit(0)).alias("n_before"))
 
